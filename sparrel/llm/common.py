@@ -80,22 +80,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             at = stop
 
 
-def union_find(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Of the pairs, those that join two groups not joined before."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+class Groups:
+    """Disjoint groups of numbers, each known by its smallest."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        up = parent.setdefault(x, x)
+        while up != x:
+            parent[x] = up = parent[up]
+            x, up = up, parent[up]
         return x
 
-    for a, b in pairs:
-        x, y = root(a), root(b)
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were in two groups, which are one from now on."""
+        x, y = self.root(a), self.root(b)
         if x != y:
-            parent[max(x, y)] = min(x, y)
-            yield a, b
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +107,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
-    kept = list(union_find(pairs()))
+    groups = Groups()
+    kept = [p for p in pairs() if groups.join(*p)]
     if kept:
         lo, hi = zip(*kept, strict=True)
         yield pa.record_batch([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["lo", "hi"])

@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.common import components, saved, slices, small, union_find
+from sparrel.llm.common import Groups, components, saved, slices, small
 from sparrel.llm.shingles import mix, shingle_set
 
 #: Counters of the sketch, one byte each in a task and two bytes in the broadcast sum.
@@ -49,6 +50,28 @@ def occurrences(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+class Prefixes:
+    """Prefixes of a block of sets, to tell at once which sets a query can link with at all."""
+
+    def __init__(self, sets: list[np.ndarray], prefixes: list[np.ndarray], percent: int) -> None:
+        self.percent = percent
+        self.sizes = np.array([len(s) for s in sets])
+        token, owner = np.concatenate(prefixes), np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
+        order = np.argsort(token, kind="stable")
+        self.token, self.owner = token[order], owner[order]
+
+    def candidates(self, n: int, query: np.ndarray) -> np.ndarray:
+        """Numbers of the sets that share enough prefix shingles with a query of n shingles (see pairs)."""
+        lo, hi = np.searchsorted(self.token, query, "left"), np.searchsorted(self.token, query, "right")
+        lo, hi = lo[hi > lo], hi[hi > lo]
+        if not len(lo):
+            return np.empty(0, dtype=int)
+        shared = np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(self.sizes))
+        need = -(-self.percent * (n + self.sizes) // (100 + self.percent))
+        others = -(-self.percent * np.maximum(n, self.sizes) // 100) - 1
+        return np.flatnonzero((shared > 0) & (shared >= need - others))
+
+
 class Index:
     """Inverted lists of a block of sets, searched by T-occurrence with DivideSkip."""
 
@@ -188,11 +211,10 @@ def prefix(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([below, np.sort(s[key == edge])[: p - len(below)]])
 
 
-def lists(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame:
+def lists(docs: DataFrame, rank: Broadcast, size: int, percent: int) -> DataFrame:
     """Prefix lists of two sets or more: (token, id, n, m, star). id: a document of the set, the same
     in all lists; m: how many sets the list has; star: for lists longer than SHORT the set of the
     list that this one is compared with first."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()  # sets of this partition
@@ -203,7 +225,7 @@ def lists(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFra
                 if doc is None or not len(s) or mark in seen:
                     continue
                 seen.add(mark)
-                p = prefix(s, shared.value, percent)
+                p = prefix(s, rank.value, percent)
                 token.append(p)
                 ids.append(np.full(len(p), doc, dtype=np.int64))
                 n.append(np.full(len(p), len(s), dtype=np.int64))
@@ -298,54 +320,75 @@ def pairs(short: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("c") >= need - others).select("query", "target")
 
 
-def searched(units: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Exact links (a, b) found in units of work (u, v, w, target, id, comp), a saved table: all
-    queries of a unit are searched for in an index of its targets. Of the links, those come back that
-    join something in the unit; comp, if not null, says what is joined already."""
+def searched(units: DataFrame, docs: DataFrame, rank: Broadcast, size: int, percent: int) -> DataFrame:
+    """Exact links (a, b) found in units of work (u, v, w, target, id, comp,
+    lists), a saved table: all
+    queries of a unit are searched for in an index of those of its targets whose prefixes allow a link,
+    that aren't joined with the query yet (by links found before or by comp, if that is not null) and
+    that share no list before this one with it.
+    Of the links, those come back that join something in the unit."""
     wanted = saved(units.select("id").distinct(), "wanted")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(wanted), "id", "left_semi")
     rows = units.join(saved(texts.dropDuplicates(["id"]), "texts"), "id")
-    rows = rows.repartition("u", "v", "w").sortWithinPartitions("u", "v", "w", "target")
+    n = 2 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    rows = rows.repartition(n, "u", "v", "w").sortWithinPartitions("u", "v", "w", "target")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = None
-        queries: list[tuple[int, np.ndarray]] = []
-        targets: list[tuple[int, np.ndarray]] = []
-        known: list[tuple[int, int]] = []
+        queries: list[tuple[int, np.ndarray, int]] = []
+        targets: list[tuple[int, np.ndarray, int]] = []
+        groups = Groups()
+        places: dict[int, int] = {}
         found: list[tuple[int, int]] = []
 
+        def bits(u: int, also: list[int] | None, query: bool) -> int:
+            """The lists before this one that hold a set, as bits; those without a query don't matter."""
+            early = [t for t in also or () if t < u]
+            if query:
+                for t in early:
+                    places.setdefault(t, len(places))
+            return sum(1 << places[t] for t in early if t in places)
+
         def search() -> None:
-            index = Index([s for _, s in targets])
-            for q, s in queries:
-                found.extend((q, targets[i][0]) for i in index.search(s, percent) if targets[i][0] != q)
+            """Every query against the targets that it isn't joined with yet."""
+            sets = [s for _, s, _ in targets]
+            prefixes = Prefixes(sets, [prefix(s, rank.value, percent) for s in sets], percent)
+            for q, s, early in queries:
+                own = groups.root(q)
+                near = prefixes.candidates(len(s), prefix(s, rank.value, percent)).tolist()
+                near = [i for i in near if not early & targets[i][2] and groups.root(targets[i][0]) != own]
+                if near:
+                    hits = (targets[near[i]][0] for i in Index([sets[i] for i in near]).search(s, percent))
+                    found.extend((q, t) for t in hits if groups.join(q, t))
             targets.clear()
 
         def close() -> pa.RecordBatch | None:
             if targets:
                 search()
-            given = len(list(union_find(iter(known))))
-            kept = list(union_find(iter([*known, *found])))[given:]
+            out = None
+            if found:
+                out = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
             queries.clear()
-            known.clear()
+            groups.parent.clear()
+            places.clear()
             found.clear()
-            if kept:
-                a, b = zip(*kept, strict=True)
-                return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            return None
+            return out
 
         for whole in batches:
             for batch in slices(iter([whole]), "text"):
-                columns = [batch.column(c).to_pylist() for c in ("u", "v", "w", "target", "id", "comp")]
-                for u, v, w, target, i, comp, s in zip(*columns, _texts(batch, size), strict=True):
+                columns = [batch.column(c).to_pylist() for c in ("u", "v", "w", "target", "id", "comp", "lists")]
+                for u, v, w, target, i, comp, also, s in zip(*columns, _texts(batch, size), strict=True):
                     if (u, v, w) != unit:
                         if unit is not None and (out := close()) is not None:
                             yield out
-                        unit = (u, v, w)
+                        unit, held = (u, v, w), 0
                     if comp is not None:
-                        known.append((i, -1 - comp))  # a node of its own for each component
-                    (targets if target else queries).append((i, s))
-                    if target and (len(targets) >= BLOCK or sum(len(x) for _, x in targets[-1:]) * len(targets) > INDEX):
+                        groups.join(i, comp)  # a component is known by one of its sets
+                    (targets if target else queries).append((i, s, bits(u, also, not target)))
+                    held += len(s) * target
+                    if target and (len(targets) >= BLOCK or held > INDEX):
                         search()
+                        held = 0
         if unit is not None and (out := close()) is not None:
             yield out
 
@@ -357,16 +400,16 @@ def _salted(edges: DataFrame) -> DataFrame:
     each BLOCK of them."""
     many = edges.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = edges.join(many, "query").withColumn("v", F.pmod(F.xxhash64("target"), F.col("blocks")))
-    none = F.lit(None).cast("long")
-    w = F.lit(-1).cast("long")
-    targets = dealt.select(F.col("query").alias("u"), "v", w.alias("w"), F.lit(True).alias("target"), F.col("target").alias("id"), none.alias("comp"))
-    return targets.unionByName(dealt.select(F.col("query").alias("u"), "v", w.alias("w"), F.lit(False).alias("target"), F.col("query").alias("id"), none.alias("comp")).distinct())
+    fixed = [F.lit(-1).cast("long").alias("w"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("array<long>").alias("lists")]
+    targets = dealt.select(F.col("query").alias("u"), "v", F.lit(True).alias("target"), F.col("target").alias("id"), *fixed)
+    queries = dealt.select(F.col("query").alias("u"), "v", F.col("query").alias("id")).distinct()
+    return targets.unionByName(queries.select("u", "v", F.lit(False).alias("target"), "id", *fixed))
 
 
 def _blocked(long: DataFrame, joined: DataFrame) -> DataFrame:
     """Units for long lists (token, id) that hold more than one component: what is outside a list's
     largest component, by blocks, against the whole list, by blocks. Lists of the same sets are
-    searched once."""
+    searched once; `lists` are a set's open lists, by which a pair is searched in its first one only."""
     at = long.join(joined, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("component", "id").alias("comp"))
     at = saved(at, "labelled")
     by = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
@@ -374,11 +417,13 @@ def _blocked(long: DataFrame, joined: DataFrame) -> DataFrame:
     by = by.where("comps > 1").groupBy("mark", "m", "top", "c").agg(F.min("token").alias("token"))
     by = by.select("token", "top", F.ceil((F.col("m") - F.col("c")) / BLOCK).alias("nq"), F.ceil(F.col("m") / BLOCK).alias("nt"))
     rows = at.join(small(saved(by, "open")), "token")
+    own = rows.groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("lists"))  # of a prefix, so bounded by the text
+    rows = rows.join(own, "id")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     queries = rows.where("comp != top").withColumn("v", block("nq")).withColumn("w", to("nt")).withColumn("target", F.lit(False))
     targets = rows.withColumn("w", block("nt")).withColumn("v", to("nq")).withColumn("target", F.lit(True))
-    names = ("u", "v", "w", "target", "id", "comp")
+    names = ("u", "v", "w", "target", "id", "comp", "lists")
     return queries.withColumnRenamed("token", "u").select(*names).unionByName(targets.withColumnRenamed("token", "u").select(*names))
 
 
@@ -390,16 +435,17 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     100 * intersection >= percent * union; component_id is the smallest doc_id that links reach.
     Rows with null doc_id link with nothing and have a null component. Repeated rows stay."""
     docs = docs.select("doc_id", "text")
-    sets, rank = scan(docs, size)
+    sets, ranks = scan(docs, size)
+    rank = docs.sparkSession.sparkContext.broadcast(ranks)
     usable = sets.where("doc_id is not null and n > 0")
     reps = usable.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"))
     listed = lists(docs, rank, size, percent)
     short, long = listed.where(F.col("m") <= SHORT), listed.where(F.col("m") > SHORT)
     stars = long.where("star is not null").select(F.col("star").alias("query"), F.col("id").alias("target"))
     edges = saved(pairs(short, percent).unionByName(stars.distinct()).distinct(), "pairs")
-    links = searched(saved(_salted(edges), "units"), docs, size, percent)
+    links = searched(saved(_salted(edges), "units"), docs, rank, size, percent)
     units = saved(_blocked(long, components(links)), "blocks")
-    links = links.unionByName(searched(units, docs, size, percent))
+    links = links.unionByName(searched(units, docs, rank, size, percent))
 
     # a list's id is some document of its set: translate to the smallest
     ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
