@@ -311,6 +311,8 @@ class Delete(_Returning, _Filtered):
 
 def insert(rows: Model | Sequence[Model]) -> Insert:
     many = not isinstance(rows, Model)
+    if many and not isinstance(rows, Sequence):
+        raise QueryConstructionError("insert() takes rows of a model")
     all_rows = tuple(rows) if many else (rows,)
     if any(not isinstance(r, Model) for r in all_rows):
         raise QueryConstructionError("insert() takes rows of a model")

@@ -47,7 +47,8 @@ class _Pending:
     _one: _Pending | None = None
 
     def __new__(cls) -> _Pending:
-        cls._one = cls._one or super().__new__(cls)
+        if cls._one is None:
+            cls._one = super().__new__(cls)
         return cls._one
 
     def __repr__(self) -> str:
