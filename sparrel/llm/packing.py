@@ -206,7 +206,8 @@ def pack(cut: DataFrame, *, size: int = 2048) -> DataFrame:
     shared = spark.sparkContext.broadcast(places(plan(histogram, size)))
     own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
     ranked = dealt.withColumn("_rank", F.row_number().over(own) - 1)
-    ranked = ranked.join(starts, (F.col("length") == F.col("_length")) & (F.col("_bucket") == F.col("_b")))
+    # both sides are dealt by (length, bucket) already; starts grow with the buckets, so no broadcast
+    ranked = ranked.join(starts.hint("merge"), (F.col("length") == F.col("_length")) & (F.col("_bucket") == F.col("_b")))
     ranked = ranked.withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long")).select(*cut.columns, "_rank")
     keep = cut.columns
 
