@@ -1,0 +1,81 @@
+import random
+
+import pytest
+from test_text import brute_components, check_packing
+
+import corpus_pipeline
+from sparrel.llm import packing
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(seed, n):
+    rng = random.Random(seed)
+    words = {"en": ["the", "ing", "ther", "and"], "de": ["ung", "sch", "keit", "ü"]}
+    rows = []
+    for i in range(n):
+        lang = rng.choice("en en de".split())
+        text = " ".join("".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(20, 60)))
+        junk = i % 6 == 0
+        rows.append((i, " | ".join(text.upper().split()) if junk else text.capitalize() + ".", lang, f"s{i % 3}", len(text)))
+        if i % 5 == 1:
+            rows.append((1000 + i, rows[-1][1].replace(".", " more."), lang, "copy", 1))
+            rows.append((500 + i, rows[-2][1], lang, "copy", 1))
+    rows += [(2000, None, "en", None, 0), (2001, "12 34 %%", None, "x", 1), (2002, "", "en", "x", 0)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    base = tmp_path_factory.mktemp("sf")
+    rows = rows_of(3, 240)
+    spark.createDataFrame(rows, DOCS).write.parquet(f"file://{base}/documents.parquet")
+    labels = [(i, int(i % 6 != 0), 0) for i in range(0, 240, 2)] + [(i, int(i % 6 != 0), 0) for i in range(1, 240, 3)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{base}/labels.parquet")
+    return f"file://{base}", rows
+
+
+def test_stages(spark, folder):
+    sf_dir, rows = folder
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    (_, language), (_, quality), (_, near), (_, pack) = corpus_pipeline.STAGES
+
+    kept = language(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    left = {r.doc_id for r in kept.collect()}
+    assert left == {r[0] for r in rows} - {2000, 2001, 2002}
+
+    good = quality(spark, kept, sf_dir)
+    assert good.columns == docs.columns
+    junk = {r[0] for r in rows if r[1] and " | " in r[1]}
+    assert {r.doc_id for r in good.collect()} == left - junk
+
+    texts = [(r.doc_id, r.text) for r in good.collect()]
+    one = near(spark, good, sf_dir)
+    assert one.columns == docs.columns
+    assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, _, c in brute_components(texts)})
+
+    packed = pack(spark, one, sf_dir).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in one.collect()}
+    assert sum(r.length for r in packed) == packing.pieces(one).agg({"length": "sum"}).first()[0]
+    check_packing(packed, 2048)
+
+
+def test_run_is_its_stages(spark, folder):
+    sf_dir, _ = folder
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    got = corpus_pipeline.run(spark, sf_dir)
+    key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
+    assert key(got) == key(docs)
+
+
+def test_repeated_rows_nulls_and_nothing(spark, folder):
+    sf_dir, _ = folder
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(5, text, "en", "a", 1), (5, text, "en", "a", 1), (None, text, "en", "a", 1), (6, None, None, None, None)], DOCS)
+    near = corpus_pipeline.STAGES[2][1]
+    assert sorted((r.doc_id for r in near(spark, docs, sf_dir).collect()), key=str) == [5, 6, None]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
