@@ -15,7 +15,7 @@ from sparrel.llm.quality import fit_quality, with_quality
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those whose language is a toss-up (posterior under 0.65)."""
-    judged = with_language(docs.withColumn("_text", F.col("text")), fit_languages(docs), "_text")
+    judged = with_language(docs, fit_languages(docs))
     return judged.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= 0.65)).select(docs.columns)
 
 
