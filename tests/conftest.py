@@ -3,6 +3,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import HealthCheck, settings
+
+# a loaded machine is no failure of a property
+settings.register_profile("any_load", deadline=None, suppress_health_check=[HealthCheck.too_slow, HealthCheck.data_too_large])
+settings.load_profile("any_load")
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 os.environ.setdefault("TZ", "UTC")
