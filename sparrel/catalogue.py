@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrel.errors import ConfigurationError
 from sparrel.functions.json import JsonInt
 from sparrel.model import DateTime, ForeignKey, Integer, Json, Model, Real, Text
 from sparrel.operators.expr import exists, not_exists, scalar
@@ -274,8 +275,13 @@ def _select(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _shared(spark: SparkSession) -> str:
+    """A folder for scratch stores that all executors share; a temporary one on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="sparrel-store-", dir=None) if not base else f"{base.rstrip('/')}/sparrel-store"
+    if base:
+        return f"{base.rstrip('/')}/sparrel-store"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="sparrel-store-")
 
 
 def _database(spark: SparkSession, sf_dir: str, model: type[Model]) -> Database:

@@ -153,10 +153,12 @@ class Transaction(Reader):
         except BaseException:
             self._discard()
             raise
+        self._discard(only="_scratch/")
 
-    def _discard(self) -> None:
+    def _discard(self, only: str = "") -> None:
         for folder in self.staged:
-            self.db.store.files.delete(folder)
+            if folder.startswith(only):
+                self.db.store.files.delete(folder)
 
     def _publish(self) -> None:
         deadline = time.monotonic() + (self.timeout if self.timeout is not None else 30.0)
