@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of ids or of edges may be broadcast (16 bytes a row: 16 MB at most).
 BROADCAST_ROWS = 1_000_000
+#: Temporary folders of local applications.
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir. Only where that is unset and
-    the master is local (as in tests) a temporary folder serves, and is set for the session."""
+    the master is local (as in tests) a temporary folder serves, one for each application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="sparrel-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if application not in _OWN:
+            _OWN[application] = "file://" + tempfile.mkdtemp(prefix="sparrel-checkpoint-")
+        base = _OWN[application]
     return base.rstrip("/")
 
 
