@@ -1,8 +1,10 @@
 """Main text of web pages: markup to text lines, then nearest-URL page differencing.
 
-Pages are sorted by host, path and id over range partitions (so that a host of any size is dealt out)
-and each page is paired with the nearer of its neighbours of the same host, by the common prefix of
-their paths. Their text lines are aligned by longest common subsequence and shared lines are deleted.
+Pages are sorted by host, path and id over ranges (so that a host of any size is dealt out) and each
+page is paired with the nearer of its neighbours of the same host, by the common prefix of their paths.
+Pages at the edge of a range are also sent to the range beyond it, as neighbours only, so a pair
+doesn't depend on where the edges lie. Text lines of a pair are aligned by longest common subsequence
+and shared lines are deleted.
 
 Two exact checks follow, since pages that repeat an article passage share lines that are no
 boilerplate: lines inside the page's own article element are restored, and a pair that shares nearly
@@ -12,7 +14,9 @@ elements go whether or not the neighbour shares them.
 
 from __future__ import annotations
 
+import bisect
 import html as _html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -174,17 +178,48 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _key(host: str, path: str, page_id: object = None) -> tuple:
+    """Orders as Spark does: by code points, null ids first."""
+    return host, path, page_id is not None, 0 if page_id is None else page_id
+
+
+def _ranges(keys: DataFrame, n: int) -> list[tuple[tuple, tuple]]:
+    """First and last key of at most n ranges of about equal size, in order. Equal keys share a range.
+    The driver gets two keys a range, whatever the number of pages."""
+    key = F.struct(*keys.columns)
+    ends = keys.repartitionByRange(n, *keys.columns).groupBy(F.spark_partition_id()).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    return sorted((_key(*r["first"]), _key(*r["last"])) for r in ends.collect())
+
+
 def extract(pages: DataFrame, *, html: str = "html", out: str = "text") -> DataFrame:
     """Replace column `html` of pages (page_id, url, ...) by `out`, the main text of each page: blocks
     in page order joined by an empty line, empty if there are none, and `n_chars`, its code points.
     Null html counts as empty; null urls and urls without host are one host's. Repeated rows and
-    ids are pages of their own; columns that have the name of a new one are replaced."""
+    ids are pages of their own, ordered by a hash of their html; columns that have the name of a new
+    one are replaced."""
     keep = [c for c in pages.columns if c not in (html, out, "n_chars")]
     work = {"_host": "string", "_path": "string", "_html": "string"}
     rows = pages.select(*keep, host_of(F.col("url")).alias("_host"), path_of(F.col("url")).alias("_path"), F.col(html).alias("_html"))
     order = ["_host", "_path", *(c for c in ("page_id",) if c in keep)]
-    n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranges = _ranges(rows.select(order), max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    firsts, first_at, last_at = [a for a, _ in ranges], {a: i for i, (a, _) in enumerate(ranges)}, {b: i for i, (_, b) in enumerate(ranges)}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_html", 16 << 20):
+            at: list[tuple[int, int, bool]] = []  # row, range, there as a neighbour only
+            for i, values in enumerate(zip(*(batch.column(c).to_pylist() for c in order), strict=True)):
+                key = _key(*values)
+                at.append((i, bisect.bisect_right(firsts, key) - 1, False))
+                for there, step, end in ((first_at, -1, 1), (last_at, 1, 0)):
+                    j = there.get(key, -1) + step if key in there else -1
+                    if 0 <= j < len(ranges) and ranges[j][end][0] == values[0]:
+                        at.append((i, j, True))
+            i, j, extra = zip(*at, strict=True)
+            taken = batch.take(pa.array(i))
+            yield pa.record_batch([*taken.columns, pa.array(j, pa.int32()), pa.array(extra)], names=[*batch.schema.names, "_range", "_extra"])
+
+    rows = rows.mapInArrow(placed, extended(rows, {"_range": "int", "_extra": "boolean"}))
+    rows = rows.repartitionById(max(1, len(ranges)), F.col("_range")).sortWithinPartitions(*order, F.xxhash64("_html"))
 
     def near(a: str, b: str) -> int:
         n = 0
@@ -197,8 +232,8 @@ def extract(pages: DataFrame, *, html: str = "html", out: str = "text") -> DataF
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for batch in slices(batches, "_html"):
-                for i, (h, p, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in work), strict=True)):
-                    yield batch, i, h, p, lines_of(t)
+                for i, (h, p, t, extra) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*work, "_extra")), strict=True)):
+                    yield batch, i, h, p, lines_of(t), extra
 
         before = here = None
         done: list[tuple] = []  # a run of results within one slice
@@ -215,15 +250,13 @@ def extract(pages: DataFrame, *, html: str = "html", out: str = "text") -> DataF
             part = batch.slice(first, len(done))
             return pa.record_batch([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, out, "n_chars"])
 
-        for after in each():
+        for after in itertools.chain(each(), [None]):
             if here is not None:
-                done.append((here[0], here[1], result(before, here, after)))
-                if after[0] is not here[0]:
+                if not here[5]:  # neighbours from other ranges come before and after all pages of this one
+                    done.append((here[0], here[1], result(before, here, after)))
+                if done and (after is None or after[0] is not here[0]):
                     yield put()
                     done.clear()
             before, here = here, after
-        if here is not None:
-            done.append((here[0], here[1], result(before, here, None)))
-            yield put()
 
     return rows.mapInArrow(made, extended(pages.select(*keep), {out: "string", "n_chars": "long"}))

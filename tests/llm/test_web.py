@@ -126,3 +126,33 @@ def test_scores_against_brute_force_and_no_python(spark):
 def test_no_labels_block_nothing(spark):
     weights, constant = urls.train(spark.createDataFrame([("http://a.org/", None)], "url string, label double"))
     assert not any(weights) and constant < 0
+
+
+def test_pairs_do_not_depend_on_ranges(spark):
+    rng = random.Random(5)
+    body = "<div>{}</div><p>{}</p><p>{}</p><div>{}</div>"
+    rows = []
+    for i in range(120):
+        url = rng.choice([None, f"http://hot.org/{rng.randrange(40)}/{rng.randrange(3)}", f"https://h{rng.randrange(12)}.org/x"])
+        rows.append((rng.choice([i, i, None]), url, body.format(*(rng.choice(["top", "side", "a tale", f"own {i}", "end"]) for _ in range(4)))))
+    rows += rows[:9]
+    keyed = [(r.h, r.p, r.page_id is not None, r.page_id or 0, r.x, r.html) for r in spark.createDataFrame(rows, PAGES).select("*", html.host_of(F.col("url")).alias("h"), html.path_of(F.col("url")).alias("p"), F.xxhash64("html").alias("x")).collect()]
+    keyed.sort()
+    lines = [html.lines_of(k[5]) for k in keyed]
+
+    def common(a, b):
+        return next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    want = []
+    for i, k in enumerate(keyed):
+        prev, after = ([j] if 0 <= j < len(keyed) and keyed[j][0] == k[0] else [] for j in (i - 1, i + 1))
+        pair = max(prev + after, key=lambda j: common(keyed[j][1], k[1]), default=None)
+        want.append(("" if not k[2] else str(k[3]), "\n\n".join(html.main_lines(lines[i], None if pair is None else lines[pair]))))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 3, 50, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = html.extract(spark.createDataFrame(rows, PAGES)).collect()
+            assert sorted(("" if r.page_id is None else str(r.page_id), r.text) for r in got) == sorted(want), n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
