@@ -96,7 +96,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: int = 3
     more above it. n_links counts the other rows that a row links with, component_id is the
     smallest vec_id that links reach, kept is whether it is the row's own. Rows that can't link (see
     usable) and rows with null vec_id have no links and are their own component. Vectors of
-    different lengths don't link."""
+    different lengths don't link. Labels may be of any type that can be grouped."""
     rows = vectors.select("vec_id", "embedding", "label").withColumn("_ok", usable() & F.col("vec_id").isNotNull())
     good = rows.where("_ok")
     reps = saved(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
@@ -107,11 +107,10 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: int = 3
             for d in np.unique(size):
                 part = batch.filter(pa.array(size == d))
                 key = table_keys(_matrix(part.column("embedding")), tables, projections, width, seed)
-                label = mix(part.column("label").to_numpy().astype(np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)).view(np.int64)
-                key ^= label[:, None]
+                key ^= part.column("mark").to_numpy()[:, None]
                 yield pa.record_batch([part.column("rep"), part.column("n"), part.column("embedding"), pa.array([k.tobytes() for k in key], pa.binary())], names=["rep", "n", "embedding", "keys"])
 
-    keyed = saved(reps.mapInArrow(hashed, f"rep long, n long, embedding {reps.schema['embedding'].dataType.simpleString()}, keys binary"), "keyed")
+    keyed = saved(reps.select("rep", "n", "embedding", F.xxhash64("label").alias("mark")).mapInArrow(hashed, f"rep long, n long, embedding {reps.schema['embedding'].dataType.simpleString()}, keys binary"), "keyed")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

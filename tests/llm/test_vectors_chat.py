@@ -103,3 +103,9 @@ def test_rotation(spark, block):
         whole = "".join(x[5] for x in sorted(mine, key=lambda x: x[7]))
         assert r.text == whole and all(whole[m.start : m.end].endswith("<|im_end|>") for m in r.masks)
     assert chat.rotate(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.001], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None), (5, [2.0, 0.0], "a")]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id, r.kept) for r in got] == [(2, 1, True), (2, 1, False), (0, 3, True), (0, 4, True), (2, 1, False)]
