@@ -8,7 +8,7 @@ and shared lines are deleted.
 
 Two exact checks follow, since pages that repeat an article passage share lines that are no
 boilerplate: lines inside the page's own article element are restored, and a pair that shares nearly
-all its text (copies under two URLs) deletes nothing. Lines of navigation, advert, footer and similar
+all its text (copies under two URLs) deletes nothing. Outside that element the alignment decides. Lines of navigation, advert, footer and similar
 elements go whether or not the neighbour shares them.
 """
 
@@ -163,8 +163,7 @@ def main_lines(page: list[tuple[str, bool, bool]], other: list[tuple[str, bool,
         weight = [len(x[0]) for x in page]
         if sum(weight[i] for i in shared) >= copies * max(1, sum(weight)):
             shared = set()
-    own = any(inside and not aside for _, inside, aside in page)
-    return [text for i, (text, inside, aside) in enumerate(page) if not aside and (inside if own else i not in shared)]
+    return [text for i, (text, inside, aside) in enumerate(page) if not aside and (inside or i not in shared)]
 
 
 def host_of(url: Column) -> Column:

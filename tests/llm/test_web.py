@@ -69,6 +69,13 @@ def test_differencing(spark):
     assert all(n == len(t) for _, t, n in got)
 
 
+def test_alignment_decides_outside_an_article(spark):
+    body = '<body><div>Top line of the site</div><div class="story"><p>{}</p></div><article class="teaser"><p>{}</p></article><div>All rights reserved</div></body>'
+    rows = [(1, "http://t.org/a", body.format("a story told at some length", "read this too")), (2, "http://t.org/b", body.format("another one, no shorter than it", "and that"))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "a story told at some length\n\nread this too", 2: "another one, no shorter than it\n\nand that"}
+
+
 def test_extract_keeps_rows_and_columns(spark):
     rows = [(i % 50, f"http://hot.org/{i % 7}", f"<p>page {i}</p>", f"k{i}", i) for i in range(500)]
     pages = spark.createDataFrame(rows, PAGES + ", `text` string, _x int")
