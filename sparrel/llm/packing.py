@@ -18,12 +18,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrel.llm.bpe import PATTERN, byte_letters, default_path
 from sparrel.llm.common import extended, saved, slices
 
+#: Characters of a run of white space, or of a text, up to which tiktoken gets it as it is; its pattern
+#: search gives up at about a million.
+SAFE_RUN = 200_000
+_RUN = regex.compile(r"\s++")
+
 
 @lru_cache(maxsize=2)
 def _encoding(path: str):
@@ -44,6 +50,27 @@ def _encoding(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def token_ids(encoding, text: str) -> np.ndarray:
+    """Ids of a whole text; strings of special tokens in it become their ids. Longer runs of white
+    space than SAFE_RUN are cut out as the pattern cuts them: but for the last character where
+    something follows, and merged without the pattern."""
+    if len(text) <= SAFE_RUN:
+        return encoding.encode_to_numpy(text, allowed_special="all")
+    special = sorted(encoding.special_tokens_set, key=len, reverse=True)
+    out = []
+    for part in regex.split("(" + "|".join(map(regex.escape, special)) + ")", text) if special else [text]:
+        at = 0
+        if part not in special:
+            for m in _RUN.finditer(part):
+                if m.end() - m.start() > SAFE_RUN:
+                    end = m.end() - (m.end() < len(part))
+                    out.append(encoding.encode_to_numpy(part[at : m.start()], allowed_special="all"))
+                    out.append(np.array(encoding._encode_single_piece(part[m.start() : end]), np.uint32))
+                    at = end
+        out.append(encoding.encode_to_numpy(part[at:], allowed_special="all"))
+    return np.concatenate(out)
+
+
 def pieces(docs: DataFrame, *, path: str | None = None, size: int = 2048, end: int = 0, ids: bool = True) -> DataFrame:
     """Tokenize documents (doc_id, text) and cut them: a document is its ids, then the id `end`; one
     of more than `size` is cut into pieces of `size`, of which the first may be shorter. Returns
@@ -57,7 +84,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, size: int = 2048, end: i
         for batch in slices(batches, "text"):
             rows, parts = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = np.append(encoding.encode_to_numpy(text or "", allowed_special="all"), np.uint32(end)).astype("<u4")
+                got = np.append(token_ids(encoding, text or ""), np.uint32(end)).astype("<u4")
                 cuts = [0, *range(len(got) % size or size, len(got) + 1, size)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append((doc, k, lo, hi - lo, zlib.crc32(got[lo:hi].tobytes())))

@@ -228,6 +228,25 @@ def test_packing(spark, library):
     assert packing.pack(packing.pieces(docs.limit(0))).count() == 0
 
 
+def test_packing_of_long_white_space(spark, library):
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "x" + " \u00a0" * 600_000 + "\ny <|endoftext|>" + "\t" * 1_100_000 + "<|endoftext|> z", "é " + " " * 1_200_000 + " é\x1c" + "\r\n" * 150_000 + "!"]
+    docs = spark.createDataFrame([*enumerate(texts)], DOCS)
+    got = {}
+    for r in packing.pieces(docs).orderBy("doc_id", "piece").toLocalIterator():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    for i, t in enumerate(texts):
+        assert got[i] == library.encode(t, add_special_tokens=False).ids + [0], i
+
+
+@pytest.mark.parametrize("safe", [1, 2, 3])
+def test_ids_do_not_depend_on_where_white_space_is_cut(library, monkeypatch, safe):
+    monkeypatch.setattr(packing, "SAFE_RUN", safe)
+    rng, encoding = random.Random(safe), packing._encoding(bpe.default_path())
+    for _ in range(2000):
+        text = "".join(rng.choice(PARTS + [" ", "\n", "   ", "\u2028", "\x85", "\u3000", "\u200b"]) for _ in range(rng.randrange(25)))
+        assert packing.token_ids(encoding, text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(11)
     for size, n in ((2048, 400), (64, 2000), (16, 50), (10, 0)):
