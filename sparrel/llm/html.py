@@ -8,7 +8,10 @@ and shared lines are deleted.
 
 Two exact checks follow, since pages that repeat an article passage share lines that are no
 boilerplate: lines inside the page's own article element are restored, and a pair that shares nearly
-all its text (copies under two URLs) deletes nothing. Outside that element the alignment decides. Lines of navigation, advert, footer and similar
+all its text and differs in nothing of weight (copies under two URLs) deletes nothing. A pair that shares
+nearly all its text, but differs in what is left, is short texts in one large frame, or copies with adverts
+of their own: there only what the page's other neighbour shares too is deleted, if the host has one.
+Outside the article element the alignment decides. Lines of navigation, advert, footer and similar
 elements go whether or not the neighbour shares them.
 """
 
@@ -18,6 +21,7 @@ import bisect
 import html as _html
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -154,15 +158,30 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_lines(page: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None, *, copies: float = 0.8) -> list[str]:
+def _alike(a: list[str], b: list[str], least: int = 16) -> bool:
+    """Whether what is left of two pages is nearly nothing (fewer than `least` characters of either) or
+    mostly the same words, digits apart, as in edited copies."""
+    if min(sum(map(len, a)), sum(map(len, b))) < least:
+        return True
+    x, y = (Counter(re.sub(r"\d", "0", " ".join(lines)).lower().split()) for lines in (a, b))
+    return 2 * (x & y).total() >= (x.total() + y.total()) / 2
+
+
+def main_lines(page: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None, further: list[tuple[str, bool, bool]] | None = None, *, copies: float = 0.8) -> list[str]:
     """The lines of a page that are left without those its neighbour shares and those of menus and
-    the like. `copies`: the share of its text from which on a pair counts as copies."""
+    the like. `copies`: the share of its text from which on a pair may be copies. They are if what is
+    left of both is alike; else, if the host has a further neighbour, only what that shares too goes."""
     shared: set[int] = set()
     if other:
-        shared = shared_lines([x[0] for x in page], [x[0] for x in other])
+        mine, theirs = [x[0] for x in page], [x[0] for x in other]
+        shared = shared_lines(mine, theirs)
         weight = [len(x[0]) for x in page]
         if sum(weight[i] for i in shared) >= copies * max(1, sum(weight)):
-            shared = set()
+            back = shared_lines(theirs, mine)
+            if _alike(*([text for i, (text, _, aside) in enumerate(lines) if not aside and i not in gone] for lines, gone in ((page, shared), (other, back)))):
+                shared = set()
+            elif further:
+                shared &= shared_lines(mine, [x[0] for x in further])
     return [text for i, (text, inside, aside) in enumerate(page) if not aside and (inside or i not in shared)]
 
 
@@ -241,7 +260,8 @@ def extract(pages: DataFrame, *, html: str = "html", out: str = "text") -> DataF
             p = prev if prev and prev[2] == now[2] else None
             q = after if after and after[2] == now[2] else None
             other = q if p is None or q and near(q[3], now[3]) > near(p[3], now[3]) else p
-            return "\n\n".join(main_lines(now[4], other[4] if other else None))
+            further = None if p is None or q is None else p if other is q else q
+            return "\n\n".join(main_lines(now[4], other[4] if other else None, further[4] if further else None))
 
         def put() -> pa.RecordBatch:
             batch, first = done[0][0], done[0][1]

@@ -76,6 +76,28 @@ def test_alignment_decides_outside_an_article(spark):
     assert got == {1: "a story told at some length\n\nread this too", 2: "another one, no shorter than it\n\nand that"}
 
 
+def test_large_frames_are_no_copies(spark):
+    notice = "All rights reserved. No part of this site may be copied without the leave of its owners. " * 5
+    frame = f"<body><div>Home Politics Sports Weather</div>{{}}<div>{notice}</div></body>"
+    story = "<p>" + "A long tale that is told in full under two addresses. " * 40 + "</p>"
+    rows = [
+        (1, "http://two.org/a", frame.format("<p>A bridge was closed today</p>")),
+        (2, "http://two.org/b", frame.format("<p>Rain is expected until Monday</p>")),
+        (3, "http://few.org/a", frame.format("<p>Quite another subject here</p>")),
+        (4, "http://few.org/b", frame.format(story + "<div>Buy these splendid shoes now</div>")),
+        (5, "http://few.org/bb", frame.format(story + "<div>Fly south for little money</div>")),
+        (6, "http://few.org/c", frame.format("<p>Something else entirely again</p>")),
+        (7, "http://date.org/a", frame.format(story + "<div>Updated on 3 May 2024</div>")),
+        (8, "http://date.org/b", frame.format(story + "<div>Updated on 14 May 2024</div>")),
+    ]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    tale = " ".join(story[3:-4].split())
+    assert got[1] == "A bridge was closed today" and got[2] == "Rain is expected until Monday"
+    assert got[3] == "Quite another subject here" and got[6] == "Something else entirely again"
+    assert got[4] == tale + "\n\nBuy these splendid shoes now" and got[5] == tale + "\n\nFly south for little money"
+    assert tale in got[7] and tale in got[8]
+
+
 def test_extract_keeps_rows_and_columns(spark):
     rows = [(i % 50, f"http://hot.org/{i % 7}", f"<p>page {i}</p>", f"k{i}", i) for i in range(500)]
     pages = spark.createDataFrame(rows, PAGES + ", `text` string, _x int")
