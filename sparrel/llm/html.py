@@ -49,6 +49,7 @@ _MARKS = frozenset(
     " comment comments disqus respond replies share sharing social related recommended widget popup modal overlay complementary contentinfo search login".split()
 )
 _WORD = re.compile(r"[a-z]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _marked(name: str, attributes: str) -> bool:
@@ -71,6 +72,8 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, in main, aside
     lower = page.lower()
+    if len(lower) != len(page):  # U+0130 becomes two characters, and places in lower are used on page
+        lower = page.translate(_LOWER)
 
     def flush() -> None:
         joined = " ".join(_html.unescape("".join(text)).split())

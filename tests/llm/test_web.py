@@ -31,6 +31,12 @@ def test_broken_markup():
     assert _text('<p title="a>b">c</p>') == ["c"]
 
 
+def test_letters_that_grow_when_lowered():
+    for n in (1, 12, 40, 500):
+        page = f"<TITLE>{'İ' * n}</TITLE><p>{'İ' * n}</p><SCRIPT>var a;</SCRIPT><article><p>İlk</p></article><STYLE>p{{}}</STYLE><p>son</p><NAV>Menü</NAV>"
+        assert html.lines_of(page) == [("İ" * n, False, False), ("İlk", True, False), ("son", False, False), ("Menü", False, True)]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(400):
