@@ -427,15 +427,31 @@ def _blocked(long: DataFrame, joined: DataFrame) -> DataFrame:
     return queries.withColumnRenamed("token", "u").select(*names).unionByName(targets.withColumnRenamed("token", "u").select(*names))
 
 
+def _numbered(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """near_duplicates() of documents whose doc_id doesn't tell sets apart, by numbers of their rows."""
+    rows = saved(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    got = near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"), size=size, percent=percent)
+    got = saved(got.toDF("row", "n_shingles", "of"), "numbered")
+    known = got.where("row is not null").join(rows.where("doc_id is not null").select("row", "doc_id"), "row")
+    least = saved(known.groupBy("of").agg(F.min("doc_id").alias("component_id")), "least")
+    known = known.join(small(least), "of").select("doc_id", "n_shingles", "component_id")
+    none = F.lit(None).cast("long")
+    return known.unionByName(got.where("row is null").select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """For documents (doc_id, text): doc_id, n_shingles and component_id, a row for each row.
 
     A set is the distinct runs of `size` words (see shingles); with fewer words it is the whole sequence;
     without words or text (null too) it is empty and links with nothing. Documents link when
     100 * intersection >= percent * union; component_id is the smallest doc_id that links reach.
-    Rows with null doc_id link with nothing and have a null component. Repeated rows stay."""
+    Rows with null doc_id link with nothing and have a null component. Repeated rows stay. Rows of one
+    doc_id with different texts are documents of their own, each with the component of its text."""
     docs = docs.select("doc_id", "text")
     sets, ranks = scan(docs, size)
+    several = sets.where("doc_id is not null and n > 0").groupBy("doc_id").agg(*(f(c).alias(f"{k}_{c}") for c in "nfg" for k, f in (("min", F.min), ("max", F.max))))
+    if several.where("min_n < max_n or min_f < max_f or min_g < max_g").limit(1).count():
+        return _numbered(docs, size, percent)
     rank = docs.sparkSession.sparkContext.broadcast(ranks)
     usable = sets.where("doc_id is not null and n > 0")
     reps = usable.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"))

@@ -115,6 +115,14 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, short):
     assert near(spark, rows) == brute_components(rows)
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(5, a), (5, b), (5, c), (5, c), (2, a + " more"), (3, "and " + b), (9, c + " too"), (7, ""), (7, "one two three four five six"), (None, a)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    want = [(5, 26, 2), (2, 27, 2), (5, 26, 3), (3, 27, 3), (5, 26, 5), (5, 26, 5), (9, 27, 5), (7, 0, 7), (7, 2, 7), (None, 26, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_large_group_of_near_copies_and_a_common_passage(spark):
     rng = random.Random(9)
     base = [f"b{i}" for i in range(60)]
