@@ -285,25 +285,27 @@ def _shared(spark: SparkSession) -> str:
 
 
 def _database(spark: SparkSession, sf_dir: str, model: type[Model]) -> Database:
-    """A scratch store with a copy of one table."""
+    """A scratch store with a copy of one table and of those that it refers to."""
     import uuid
 
-    db = Database.initialize(spark, f"{_shared(spark)}/{uuid.uuid4().hex}", check_constraints=model is Region)
-    db.migrate({"0001": _alone(model)})
+    db = Database.initialize(spark, f"{_shared(spark)}/{uuid.uuid4().hex}")
+    models = _referred(model)
+    db.migrate({"0001": scaffold(models)})
     with db.transaction() as tx:
-        tx.append(model, ParquetFolder(spark, sf_dir).table(model))
+        for m in reversed(models):
+            tx.append(m, ParquetFolder(spark, sf_dir).table(m))
     return db
 
 
-def _alone(model: type[Model]) -> str:
-    """The model's table without those that it refers to."""
+def _referred(model: type[Model]) -> list[type[Model]]:
+    """The model, then those that it refers to."""
     models, todo = [], [model]
     while todo:
         m = todo.pop()
         if m not in models:
             models.append(m)
             todo += [a.target.model for a in m.columns.values() if a.target is not None]
-    return scaffold(models)
+    return models
 
 
 def insert_returning_state(spark: SparkSession, sf_dir: str) -> DataFrame:

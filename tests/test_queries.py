@@ -316,3 +316,16 @@ def test_entry_and_catalogue(spark):
         got, want = queries[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(sql[name]).df()
         key = lambda df: sorted(tuple("" if str(v) in ("nan", "None", "<NA>") else str(v) if isinstance(v, str) else float(v) for v in r) for r in df[sorted(want.columns)].astype(object).itertuples(index=False))
         assert list(got.columns) == list(want.columns) and key(got) == key(want), name
+
+
+def test_write_queries_check_constraints(spark):
+    from sparrel import catalogue, update
+    from sparrel.errors import ForeignKeyError
+
+    folder = "/root/testdata/sf0.001"
+    db = catalogue._database(spark, folder, catalogue.Customer)
+    with pytest.raises(ForeignKeyError), db.transaction() as tx:
+        tx.execute(update(catalogue.C).set(catalogue.C.c_nationkey.to(999)).where(catalogue.C.c_acctbal.lt(0.0)))
+    rows = spark.read.parquet(f"{folder}/customer.parquet").collect()
+    assert sorted(map(tuple, catalogue.update_state(spark, folder).collect())) == sorted((r.c_custkey, "DELINQUENT" if r.c_acctbal < 0 else r.c_mktsegment) for r in rows)
+    assert sorted(r.c_custkey for r in catalogue.update_returning(spark, folder).collect()) == sorted(r.c_custkey for r in rows if r.c_acctbal < 100)
