@@ -7,11 +7,12 @@ doesn't depend on where the edges lie. Text lines of a pair are aligned by longe
 and shared lines are deleted.
 
 Two exact checks follow, since pages that repeat an article passage share lines that are no
-boilerplate: lines inside the page's own article element are restored, and a pair that shares nearly
-all its text and differs in nothing of weight (copies under two URLs) deletes nothing. A pair that shares
+boilerplate: shared lines inside the page's own article element are restored, unless links make up the
+whole line (menus and teasers), and a pair that shares nearly all its text and differs in nothing of
+weight (copies under two URLs) deletes nothing. A pair that shares
 nearly all its text, but differs in what is left, is short texts in one large frame, or copies with adverts
 of their own: there only what the page's other neighbour shares too is deleted, if the host has one.
-Outside the article element the alignment decides. Lines of navigation, advert, footer and similar
+On all other lines the alignment decides. Lines of navigation, advert, footer and similar
 elements go whether or not the neighbour shares them.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import bisect
 import html as _html
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,24 +32,29 @@ from pyspark.sql import functions as F
 
 from sparrel.llm.common import extended, slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-#: Elements whose text is no part of a page's text.
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)")
+_VALUE_OR_END = re.compile(r">|=\s*+([\"'])")
+# a name starts where no name goes on, so that a long run without = is read once
+_ATTRIBUTE = re.compile(r"(?<![^\s=\"'/])([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
+#: Elements whose text is no part of a page's text.
 _RAW = frozenset("script style title textarea noscript template iframe noframes xmp".split())
 _ASIDE = frozenset("nav header footer aside form button select menu dialog svg canvas object audio video head".split())
-#: Elements that begin and end a block of text.
+#: Elements that begin and end a block of text.
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
-#: Words of class, id or role that mark what is no article text.
+#: Words of class, id or role that mark what is no article text.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert"
     " newsletter subscribe subscription signup paywall sidebar menu navbar navigation nav breadcrumb breadcrumbs pagination footer masthead topbar toolbar"
     " comment comments disqus respond replies share sharing social related recommended widget popup modal overlay complementary contentinfo search login".split()
 )
+#: Open elements that a new one closes; any other block closes an open paragraph.
+_CLOSES = {"li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _WORD = re.compile(r"[a-z]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -64,75 +71,151 @@ def _marked(name: str, attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
 
 
+class _Tags:
+    """Where tags end. Quotes count after = only; a quoted value that never ends, or beyond which the tag
+    never ends, is no value, and the tag ends at its first >. Every place is scanned once: the places of values
+    beyond which no tag ends are remembered."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """The place of the > of the tag whose attributes start at `at`; -1 if there is none."""
+        page, passed, now = self.page, [], at
+        if at > self.last[">"]:
+            return -1
+        while m := _VALUE_OR_END.search(page, now):
+            if m[1] is None:
+                return m.start()
+            if m.start() in self.dead or m.end() > self.last[m[1]]:
+                break
+            passed.append(m.start())
+            now = page.index(m[1], m.end()) + 1
+        self.dead.update(passed)
+        return page.find(">", at)
+
+
+class _Open:
+    """The open elements. Ends of elements are found without a walk through those that stay open."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # name, in main, aside
+        self.blocks: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.links = 0
+
+    def top(self) -> tuple[str, bool, bool]:
+        return self.stack[-1] if self.stack else ("", False, False)
+
+    def push(self, name: str, inside: bool, aside: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.links += name == "a"
+        self.stack.append((name, inside, aside))
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name in _BLOCK:
+                self.blocks.pop()
+            self.links -= name == "a"
+
+    def place(self, name: str) -> int:
+        """Where the element is that an end tag closes, -1 if nowhere; that of an inline element closes no block."""
+        at = self.places.get(name)
+        return at[-1] if at and (name in _BLOCK or not self.blocks or at[-1] > self.blocks[-1]) else -1
+
+
 def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     """The text blocks of a page in order: text with its white space made single spaces, whether it
-    stands in an article or main element, whether in an element of menus, adverts and the like."""
+    stands in an article or main element and isn't made of links alone, whether in an element of
+    menus, adverts and the like. The time is in proportion to the page's length, whatever its markup."""
     page = page or ""
     out: list[tuple[str, bool, bool]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in main, aside
+    free = False  # text outside of links
+    open_, tags = _Open(), _Tags(page)
     lower = page.lower()
     if len(lower) != len(page):  # U+0130 becomes two characters, and places in lower are used on page
         lower = page.translate(_LOWER)
+    last_end = {m[1]: m.start() for m in _END_TAG.finditer(lower)}
 
     def flush() -> None:
+        nonlocal free
         joined = " ".join(_html.unescape("".join(text)).split())
         if joined:
-            top = stack[-1] if stack else ("", False, False)
-            out.append((joined, top[1], top[2]))
+            _, inside, aside = open_.top()
+            out.append((joined, inside and free, aside))
         text.clear()
+        free = False
 
     at = 0
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if not m[0].startswith(("<!", "<?")):
-                text.append(m[0])
-            continue
-        name = name.lower()
-        if m[1]:
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            start = len(page)
+        if start > at:
+            text.append(page[at:start])
+            free = free or not open_.links and not page[at:start].isspace()
+        at = start + 1
+        if at >= len(page):
+            text.append(page[start:])
+            break
+        if page[at] in "!?":
+            ends = "-->" if page.startswith("!--", at) else "]]>" if page.startswith("![CDATA[", at) else ">"
+            end = page.find(ends, at + (3 if len(ends) > 1 else 0))
+            at = end + len(ends) if end >= 0 else len(page)
+        else:
+            m = _NAME.match(page, at) if at <= tags.last[">"] else None
+            end = tags.end(m.end()) if m else -1
+            if end < 0:
+                text.append("<")
+                free = free or not open_.links
+                continue
+            attributes, at = page[m.end() : end], end + 1
+            name = m[0].lower()
+            if name[0] == "/":
+                name = name[1:]
+                if name in _BLOCK or name in _ASIDE:
+                    flush()
+                if (i := open_.place(name)) >= 0:
+                    if open_.blocks and open_.blocks[-1] >= i:
+                        flush()
+                    open_.cut(i)
+                continue
+            closed = attributes.rstrip().endswith("/")
+            if name in _RAW:
+                if not closed:
+                    gone = re.compile(rf"</{re.escape(name)}[\s/>]").search(lower, at) if last_end.get(name, -1) >= at else None
+                    at = page.find(">", gone.start()) + 1 or len(page) if gone else len(page)
+                continue
             if name in _BLOCK or name in _ASIDE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if any(s[0] in _BLOCK for s in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
-                if name not in _BLOCK and stack[i][0] in _BLOCK:
-                    break  # the end of an inline element closes no block
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]").search(lower, at)
-            if not m[3].rstrip().endswith("/"):
-                at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
-            continue
-        if name in _BLOCK or name in _ASIDE:
-            flush()
-            closes = {"p": ("p",), "li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}.get(name, ("p",))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    del stack[i:]
-                elif stack[i][0] in _BLOCK:
-                    break
-        elif name == "br":
-            text.append("\n")
-        if name in _VOID or m[3].rstrip().endswith("/"):
-            continue
-        _, inside, aside = stack[-1] if stack else ("", False, False)
-        off = name in _ASIDE or _marked(name, m[3])
-        if off and lower.find(f"</{name}", at) < 0:
-            off = False  # never closed: it holds nothing for certain
-        if name == "header" and inside:
-            off = _marked(name, m[3])  # the heading of the article itself
-        stack.append((name, inside or name in _MAIN, aside or off))
+                closes = _CLOSES.get(name, ("p",))
+                while open_.blocks and open_.stack[open_.blocks[-1]][0] in closes:
+                    open_.cut(open_.blocks[-1])
+            elif name == "br":
+                text.append("\n")
+            if name in _VOID or closed:
+                continue
+            _, inside, aside = open_.top()
+            off = name in _ASIDE or _marked(name, attributes)
+            if off and last_end.get(name, -1) < at:
+                off = False  # never closed: it holds nothing for certain
+            if name == "header" and inside:
+                off = _marked(name, attributes)  # the heading of the article itself
+            open_.push(name, inside or name in _MAIN, aside or off)
     flush()
     return out
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of one longest common subsequence of a and b, by bits of whole integers."""
+    """Places in a of one longest common subsequence of a and b, by bits of whole integers. Of the rows of
+    bits every k-th is kept, k the root of their number, and those between are made again on the way back."""
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
@@ -140,24 +223,40 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     while e < min(len(a), len(b)) - n and a[-1 - e] == b[-1 - e]:
         e += 1
     found = {*range(n), *range(len(a) - e, len(a))}
-    x, y = a[n : len(a) - e], b[n : len(b) - e]
+    both = {*a[n : len(a) - e]} & {*b[n : len(b) - e]}
+    at = [i for i in range(n, len(a) - e) if a[i] in both]
+    x, y = [a[i] for i in at], [line for line in b[n : len(b) - e] if line in both]
     where: dict[str, int] = {}
     for j, line in enumerate(y):
         where[line] = where.get(line, 0) | 1 << j
     full = (1 << len(y)) - 1
-    rows = [full]
-    for line in x:
-        v, m = rows[-1], where.get(line, 0)
-        rows.append((v + (v & m) | v & ~m) & full)
+
+    def rows(first: int, lo: int, hi: int) -> Iterator[int]:
+        for line in x[lo:hi]:
+            m = where[line]
+            first = (first + (first & m) | first & ~m) & full
+            yield first
+
+    k = math.isqrt(len(x)) + 1
+    kept = [full]
+    for lo in range(0, len(x), k):
+        for row in rows(kept[-1], lo, lo + k):
+            last = row
+        kept.append(last)
     i, j = len(x), len(y)
+    part: list[int] = []
+    base = -1
     while i and j:  # a clear bit j - 1 in row i: the subsequence grows there
-        if rows[i] >> j - 1 & 1:
+        if base < 0 or i - 1 < base:
+            base = (i - 1) // k * k
+            part = [kept[base // k], *rows(kept[base // k], base, min(base + k, len(x)))]
+        if part[i - base] >> j - 1 & 1:
             j -= 1
-        elif not rows[i - 1] >> j - 1 & 1:
+        elif not part[i - 1 - base] >> j - 1 & 1:
             i -= 1
         else:
             i, j = i - 1, j - 1
-            found.add(n + i)
+            found.add(at[i])
     return found
 
 

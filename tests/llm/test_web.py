@@ -191,3 +191,104 @@ def test_pairs_do_not_depend_on_ranges(spark):
             assert sorted(("" if r.page_id is None else str(r.page_id), r.text) for r in got) == sorted(want), n
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for unit in ("<a '", '<a "b>', "<nav>", '<a b="', '<a ">" ', "<a<a", "<x class=ad>", "<p><b>", "<b></i>", "<div></p>", '<a b=">" ', "<script/>", "&lt;<"):
+        took = []
+        for size in (25_000, 200_000):
+            started = time.perf_counter()
+            html.lines_of(unit * (size // len(unit)) + "<p>end")
+            took.append(time.perf_counter() - started)
+        assert took[1] < 32 * max(took[0], 0.005), unit  # eight times the text, not 64 times the time
+    for page in ("<b>" * 40_000 + "</i>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<b>" * 40_000 + "<p></p>" * 40_000, "<p " + "a" * 200_000 + ">x"):
+        started = time.perf_counter()
+        html.lines_of(page)
+        assert time.perf_counter() - started < 5
+
+
+def test_values_that_never_end():
+    assert _text('<p class="x>one</p><p>two</p>') == ["one", "two"]
+    assert _text("<p title='a>b' id=c>it's</p><p>don't</p>") == ["it's", "don't"]
+    assert _text('<a href="x>y">in</a> <a href="z>out</a>') == ["in out"]
+
+
+def test_links_in_an_article_go_if_the_neighbour_has_them(spark):
+    body = '<body><article><div><a href="/1">News</a> <a href="/2">Sport</a></div><p>{}</p><p>Shared words of an article</p></article><p>{}</p><div>All rights reserved</div></body>'
+    rows = [(1, "http://t.org/a", body.format("one tale of some length", "an afterword of its own")), (2, "http://t.org/b", body.format("another, no shorter", "some other last words")), (3, "http://u.org/", body.format("alone", "as it is"))]
+    got = {r.page_id: r.text.split("\n\n") for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[1] == ["one tale of some length", "Shared words of an article", "an afterword of its own"]
+    assert got[2] == ["another, no shorter", "Shared words of an article", "some other last words"]
+    assert got[3] == ["News Sport", "alone", "Shared words of an article", "as it is", "All rights reserved"]
+
+
+def test_long_alignments_against_a_table():
+    rng = random.Random(8)
+    for n, m in ((300, 280), (257, 400), (1, 300), (300, 1)):
+        a, b = ([rng.choice("abcdefgh") for _ in range(k)] for k in (n, m))
+        row = [0] * (m + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        got = sorted(html.shared_lines(a, b))
+        rest = iter(b)
+        assert len(got) == row[-1] and all(any(a[i] == y for y in rest) for i in got)
+
+
+def _independent(page, article):
+    """Text blocks by the standard library's parser, for pages whose frame is marked by elements."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.off, self.inside, self.blocks, self.now = 0, 0, [], ""
+
+        def flush(self):
+            if (not article or self.inside) and not self.off and (t := " ".join(self.now.split())):
+                self.blocks.append(t)
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("b", "i", "a", "br"):
+                self.flush()
+            self.now += "\n" * (tag == "br")
+            self.off += tag in ("nav", "footer", "aside", "form", "script", "style")
+            self.inside += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a"):
+                self.flush()
+            self.off -= tag in ("nav", "footer", "aside", "form", "script", "style")
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            self.now += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return reader.blocks
+
+
+def test_extraction_against_an_independent_parser(spark):
+    rng = random.Random(12)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa &amp; &lt;x&gt; caf&eacute; &#8212; İst ß".split()
+
+    def prose():
+        return " ".join(rng.choice(words) + rng.choice(["", "", "", " <b>bold</b>", "<br>", " <a href='/x?a=1&amp;b=2'>link</a>", "\n  "]) for _ in range(rng.randrange(3, 30)))
+
+    def page(article):
+        frame = "".join(f"<{t}>{prose()}</{t}>" for t in rng.choices(["nav", "aside", "form"], k=rng.randrange(4)))
+        body = "".join(rng.choice(["<p>{}</p>", "<div>{}</div>", "<ul><li>{}</li></ul>", "<h2>{}</h2>"]).format(prose()) for _ in range(rng.randrange(6)))
+        side = f"<aside><p>{prose()}</p></aside>" * rng.randrange(2)
+        inner = f"<article>{body}{side}</article>" if article else f"<div>{body}{side}</div>"
+        return f"<html><body><style>p{{}}</style>{frame}{inner}<script>if (a<b) {{}}</script><footer>{prose()}</footer></body></html>"
+
+    made = [(i, f"http://h{i}.org/", page(i % 2)) for i in range(300)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(made, PAGES)).collect()}
+    for i, _, text in made:
+        assert got[i] == "\n\n".join(_independent(text, i % 2)), text
