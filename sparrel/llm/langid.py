@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.common import extended, slices
+from sparrel.llm.common import extended, saved, slices
 
-#: Languages that one model may hold: the size of the broadcast matrix is bounded by it.
-MOST_LANGUAGES = 256
+#: Numbers of a table (4 bytes each), which buckets are fitted to, and the fewest buckets there are.
+CELLS, LEAST_BUCKETS = 1 << 23, 1 << 10
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 _LETTERS: np.ndarray | None = None
 
@@ -29,11 +29,11 @@ def _letters() -> np.ndarray:
     return _LETTERS
 
 
-def grams(texts: list[str | None], buckets: int, n: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(texts: list[str | None], buckets: int, n: int = 3, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bucket numbers of the n-grams of 1 to n characters of all texts together, and the number of
     the text that each belongs to. Case is folded, runs of other characters than letters are one
     space, and no n-gram reaches over the end of a text. Long batches come in several parts of
-    whole n-grams, so that memory is bounded."""
+    whole n-grams that start at `step` places each, so that memory is bounded."""
     letters = _letters()
     codes, owner = [], []
     for i, t in enumerate(texts):
@@ -46,7 +46,7 @@ def grams(texts: list[str | None], buckets: int, n: int = 3) -> Iterator[tuple[n
     if not codes:
         return
     c, own = np.concatenate(codes), np.concatenate(owner)
-    step, mask = 1 << 20, np.uint32(buckets - 1)
+    mask = np.uint32(buckets - 1)
     for at in range(0, len(c), step):
         part, po = c[at : at + step + n - 1], own[at : at + step + n - 1]
         h = np.zeros(len(part), dtype=np.uint32)
@@ -73,62 +73,85 @@ class LanguageModel:
         no letter, or if nothing was learnt. Of languages with equal scores the first by name."""
         total = np.zeros((len(texts), len(self.languages)))
         seen = np.zeros(len(texts), dtype=bool)
-        for bucket, own in grams(texts, len(self.table)):
-            if not len(own) or not self.languages:
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        # a part's rows of the table have CELLS / 8 numbers or so
+        for bucket, own in grams(texts, len(self.table), step=max(256, CELLS // 8 // len(self.languages))):
+            if not len(own):
                 continue
             starts = np.flatnonzero(np.diff(own, prepend=-1))
             total[own[starts]] += np.add.reduceat(self.table[bucket], starts, axis=0, dtype=np.float64)
             seen[own[starts]] = True
-        if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
         total += self.prior
         best = total.argmax(1)
         score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         return [self.languages[b] if s else "und" for b, s in zip(best, seen, strict=True)], np.where(seen, score, 0.0).tolist()
 
 
+def buckets_for(languages: int, most: int) -> int:
+    """As many buckets as keep the table at CELLS numbers, a power of two from LEAST_BUCKETS to `most`."""
+    buckets = most
+    while buckets * languages > CELLS and buckets > LEAST_BUCKETS:
+        buckets //= 2
+    return buckets
+
+
 def fit_languages(docs: DataFrame, learn: Column | None = None, *, sample: int = 20_000, buckets: int = 1 << 15, seed: int = 11) -> LanguageModel:
     """Learn from documents (doc_id, text, lang) with neither text nor lang null.
 
     learn: a condition that rows must meet. sample: about so many rows are learnt from at most,
-    by a hash of doc_id. Counts are summed by partition, then by language. Without a row the model
-    says `und` for everything. More than MOST_LANGUAGES languages raise ValueError."""
+    by a hash of doc_id. buckets: a power of two; with more than CELLS / buckets languages fewer, down to
+    LEAST_BUCKETS, so the table stays at CELLS numbers up to 8,192 languages and grows by 4 kB for each
+    beyond. Without a row the model says `und` for everything.
+
+    The corpus is read by one narrow stage, which keeps the sample; its counts are summed by
+    partition, then by language, and the driver gets one row a language."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows.where(learn) if learn is not None else rows
     n = rows.count()
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+    rows = saved(rows.select("text", "lang"), "sample")
+    priors = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # at most `sample` rows
+    if not priors:
+        return LanguageModel((), np.empty(0), np.empty((buckets, 0), np.float32))
+    names = tuple(x for x, _ in priors)
+    buckets = buckets_for(len(names), buckets)
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list] = {}
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a slice by language: the buckets that occur, and how often."""
         for batch in slices(batches, "text"):
             langs = batch.column("lang").to_pylist()
-            names = sorted(set(langs))
-            if len(sums.keys() | set(names)) > MOST_LANGUAGES:
-                raise ValueError(f"more than {MOST_LANGUAGES} languages")
-            number = np.array([names.index(x) for x in langs])
-            for x in names:
-                sums.setdefault(x, [0, np.zeros(buckets)])[0] += langs.count(x)
-            for bucket, own in grams(batch.column("text").to_pylist(), buckets):
-                both = np.bincount(number[own] * buckets + bucket, minlength=buckets * len(names)).reshape(len(names), buckets)
-                for x, c in zip(names, both, strict=True):
-                    sums[x][1] += c
-        if sums:
-            yield pa.record_batch([pa.array(sums.keys(), pa.string()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], names=["lang", "n", "counts"])
-
-    total: dict[str, list] = {}
-    # the sample is bounded, so its few partitions are too
-    for r in rows.select("text", "lang").coalesce(16).mapInArrow(counts, "lang string, n long, counts binary").toLocalIterator():
-        got = total.setdefault(r.lang, [0, np.zeros(buckets)])
-        got[0] += r.n
-        got[1] += np.frombuffer(r.counts)
-        if len(total) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    names = tuple(sorted(total))
-    if not names:
-        return LanguageModel((), np.empty(0), np.empty((buckets, 0), np.float32))
-    prior = np.log(np.array([total[x][0] for x in names]) / sum(x[0] for x in total.values()))
-    smooth = np.stack([total[x][1] + 0.5 for x in names], axis=1)
+            here = sorted(set(langs))
+            place = {x: i for i, x in enumerate(here)}
+            number = np.array([place[x] for x in langs])
+            found = [np.unique(number[own] * buckets + bucket, return_counts=True) for bucket, own in grams(batch.column("text").to_pylist(), buckets)]
+            for key, times in found:
+                cuts = np.searchsorted(key, np.arange(len(here) + 1) * buckets)
+                parts = [(x, key[lo:hi] % buckets, times[lo:hi]) for x, lo, hi in zip(here, cuts, cuts[1:], strict=False) if lo < hi]
+                if parts:
+                    yield pa.record_batch(
+                        [pa.array([x for x, _, _ in parts], pa.string()), pa.array([k.astype("<i4").tobytes() for _, k, _ in parts], pa.binary()), pa.array([c.astype("<i8").tobytes() for _, _, c in parts], pa.binary())],
+                        names=["lang", "bucket", "times"],
+                    )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each language of a partition that is sorted by language: counts of all buckets."""
+        lang, total = None, np.zeros(buckets, dtype=np.int64)
+        for batch in batches:
+            for x, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if x != lang:
+                    if lang is not None:
+                        yield pa.record_batch([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], names=["lang", "counts"])
+                    lang, total = x, np.zeros(buckets, dtype=np.int64)
+                total[np.frombuffer(k, "<i4")] += np.frombuffer(c, "<i8")
+        if lang is not None:
+            yield pa.record_batch([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], names=["lang", "counts"])
+
+    parts = rows.mapInArrow(counted, "lang string, bucket binary, times binary").repartition("lang").sortWithinPartitions("lang")
+    counts = {r.lang: np.frombuffer(r.counts, dtype=np.int64) for r in parts.mapInArrow(summed, "lang string, counts binary").collect()}
+    prior = np.log(np.array([n for _, n in priors]) / sum(n for _, n in priors))
+    smooth = np.stack([counts.get(x, np.zeros(buckets)) + 0.5 for x in names], axis=1)
     return LanguageModel(names, prior, np.log(smooth / smooth.sum(0)).astype(np.float32))
 
 
