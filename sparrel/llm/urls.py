@@ -1,25 +1,30 @@
 """URL filters, native: host and path rules first, then logistic regression on hashed character
 n-grams of host and path, trained from a small labelled URL table.
 
-Everything is DataFrame and SQL functions. The weights (BUCKETS doubles) are a literal of the plan, so
-that judging is one narrow projection without a shuffle or a join.
+Everything over pages is DataFrame and SQL functions. The labelled table is small; its n-grams are made by
+the same functions, and the driver fits the weights. Those (BUCKETS doubles) are a literal of the plan,
+so that judging is one narrow projection without a shuffle or a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrel.llm.html import host_of, path_of
 
 BUCKETS = 1 << 11
+#: Rows of a labelled table, which the driver fits on.
+MOST_LABELLED = 4000
 
 #: The rules to apply, as verdict, host and path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: The labelled URL table; 1 marks what to block.
+#: The labelled URL table: addresses of kinds that such filters block, and ordinary words as names.
 BLOCKED = """
 http://casino-royal.example.com/slots http://www.best-casino.example.org/en/12 http://casinowin.example.com/jackpot
 http://win-big.example.net/lottery http://lotto-win.example.org/en/5 http://casino-bonus.example.net/fr/88.html
@@ -40,12 +45,13 @@ http://m.northern.example.com/de/901 http://library.example.org/en/18/ http://bl
 http://station.example.com/en/500 http://blog.nation.example.org/fr/77 http://m.leather.example.com/en/210 http://www.other.example.net/en/39
 http://threshold.example.org/de/120 http://m.rather.example.com/en/87.html http://thread.example.com/fr/450 http://blog.thought.example.org/en/16
 http://www.river.example.com/en/333 http://reading.example.net/en/52 http://m.ethics.example.org/es/19 http://blog.anthem.example.com/de/77.html
-http://www.thesis.example.org/en/271 http://handbook.example.com/en/64 http://m.answers.example.org/fr/805 http://ththre.example.com/es/93
+http://www.thesis.example.org/en/271 http://handbook.example.com/en/64 http://m.answers.example.org/fr/805
 http://lighthouse.example.com/de/14 http://blog.southern.example.org/en/702 http://www.rhythm.example.com/fr/58 http://m.father.example.net/en/466
 http://themes.example.org/en/31/ http://thunder.example.com/en/999 http://blog.breath.example.com/es/140 http://www.earth.example.org/en/82
 http://m.health.example.com/fr/215 http://thinking.example.org/de/37 http://www.gather.example.com/en/548 http://blog.hearing.example.com/de/11
 http://m.station.example.net/de/26 http://fashion.example.net/de/307 http://www.nations.example.net/de/8 http://motionshop.example.com/de/5
-http://m.tionher.example.com/en/730 http://erthing.example.org/en/19 http://www.nderes.example.com/fr/62 http://blog.onthst.example.org/es/481
+http://m.education.example.com/en/730 http://something.example.org/en/19 http://www.wonders.example.com/fr/62 http://blog.month.example.org/es/481
+http://relations.example.org/es/93 http://www.underneath.example.net/en/118
 """.split()
 
 
@@ -71,25 +77,53 @@ def grams(url: Column) -> Column:
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The built-in labelled URL table (url, label)."""
-    rows = [(u, 1.0) for u in BLOCKED] + [(u, 0.0) for u in ALLOWED]
-    return spark.createDataFrame(rows, "url string, label double").coalesce(1)
+    rows = ", ".join(f"('{u}', {y}D)" for y, urls in ((1.0, BLOCKED), (0.0, ALLOWED)) for u in urls)
+    return spark.sql(f"select * from values {rows} as t(url, label)")
+
+
+@lru_cache(maxsize=16)
+def _fitted(rows: tuple[tuple[tuple[int, ...], float], ...], penalty: float) -> tuple[list[float], float]:
+    """The least mean log loss plus penalty / 2 * |weights|^2, by Newton steps. Weights are a sum of the rows'
+    features, so the steps are over one number a row, and a constant without penalty."""
+    x, y = np.zeros((len(rows), BUCKETS)), np.array([label for _, label in rows])
+    for i, (buckets, _) in enumerate(rows):
+        np.add.at(x[i], list(buckets), 1.0)
+    n, k = len(rows), x @ x.T
+    a, constant = np.zeros(n), 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(k @ a + constant, -500, 500)))
+        w = np.maximum(p * (1 - p), 1e-10)
+        # (W K + n penalty I) da + W 1 db = y - p - n penalty a, and 1'W K da + 1'W 1 db = sum(y - p)
+        left = np.block([[w[:, None] * k + n * penalty * np.eye(n), w[:, None]], [(w @ k)[None, :], w.sum()]])
+        step = np.linalg.solve(left, np.append(y - p - n * penalty * a, (y - p).sum()))
+        a, constant = a + step[:-1], constant + step[-1]
+        if np.abs(step).max() < 1e-10:
+            break
+    return (x.T @ a).tolist(), float(constant)
 
 
 def train(table: DataFrame, *, penalty: float = 0.01) -> tuple[list[float], float]:
-    """Weights by bucket, and the constant, of a logistic regression on a small table (url, label).
-    Rows with a null label don't count; without rows of both labels nothing is blocked."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    table = table.where(F.col("label").isin(0, 1))
-    if table.select("label").distinct().count() < 2:
+    """Weights by bucket, and the constant, of a logistic regression on a small table (url, label), of
+    MOST_LABELLED rows at most: a larger one raises ValueError. One job makes the n-grams of its rows; an equal
+    table is fitted once a process. Rows with a null label don't count; without rows of both labels
+    nothing is blocked."""
+    found = table.where(F.col("label").isin(0, 1)).select(grams(F.col("url")).alias("g"), F.col("label").cast("double").alias("y"))
+    rows = sorted((tuple(sorted(r.g)), r.y) for r in found.limit(MOST_LABELLED + 1).collect())
+    if len(rows) > MOST_LABELLED:
+        raise ValueError(f"a labelled table has {MOST_LABELLED} rows at most")
+    if len({y for _, y in rows}) < 2:
         return [0.0] * BUCKETS, -1.0
-    # the shuffle of these few rows keeps the n-grams from being made anew for every bucket
-    found = table.select("label", grams(F.col("url")).alias("g")).repartition(1)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("g", lambda g: g == b)).cast("double"))
-    rows = found.select(F.col("label").cast("double"), array_to_vector(counts).alias("features"))
-    model = LogisticRegression(regParam=penalty, maxIter=60, standardization=False).fit(rows)
-    return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
+    return _fitted(tuple(rows), penalty)
+
+
+_BUILT_IN: list[tuple[list[float], float]] = []
+
+
+def _built_in(spark: SparkSession) -> tuple[list[float], float]:
+    """The model of the built-in table, which is a constant: fitted once a process."""
+    if not _BUILT_IN:
+        _BUILT_IN.append(train(labelled(spark)))
+    return _BUILT_IN[0]
 
 
 def judge(df: DataFrame, url: str = "url", *, rules: Sequence[tuple[str, str, str]] = RULES, model: tuple[list[float], float] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -99,7 +133,7 @@ def judge(df: DataFrame, url: str = "url", *, rules: Sequence[tuple[str, str, st
     rule's; the longest fitting rule decides, the first of equally long ones. Where none fits (rule
     is null) score, the probability of a page to block, decides by the threshold. Null urls and urls
     without :// have empty host and path, and are judged as such."""
-    weights, constant = model or train(labelled(df.sparkSession))
+    weights, constant = model or _built_in(df.sparkSession)
     name = F.col(url)
     host, path = host_of(name), path_of(name)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -107,7 +141,7 @@ def judge(df: DataFrame, url: str = "url", *, rules: Sequence[tuple[str, str, st
     for how, h, p in reversed(longest_first):
         fits = ((F.col("_h") == h) | F.col("_h").endswith("." + h)) & F.col("_p").startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, how).otherwise(verdict)
-    table = F.array(*(F.lit(w) for w in weights))
+    table = F.split(F.lit(" ".join(repr(float(w)) for w in weights)), " ").cast("array<double>")  # one literal once folded
     margin = F.aggregate(F.col("_g"), F.lit(float(constant)), lambda s, g: s + F.element_at(table, g + 1))
     work = df.withColumns({"_h": host, "_p": path, "_g": grams(name)}).withColumns({"_s": 1 / (1 + F.exp(-margin))})
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "score")]

@@ -292,3 +292,42 @@ def test_extraction_against_an_independent_parser(spark):
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(made, PAGES)).collect()}
     for i, _, text in made:
         assert got[i] == "\n\n".join(_independent(text, i % 2)), text
+
+
+def test_regression_is_the_optimum_and_fits_once(spark):
+    import numpy as np
+
+    table = urls.labelled(spark)
+    weights, constant = urls.train(table, penalty=0.05)
+    rows = table.select("label", urls.grams(F.col("url")).alias("g")).collect()
+    x, y = np.zeros((len(rows), urls.BUCKETS)), np.array([r.label for r in rows])
+    for i, r in enumerate(rows):
+        np.add.at(x[i], r.g, 1)
+    p = 1 / (1 + np.exp(-(x @ weights + constant)))
+    # at the least loss the gradient is zero
+    assert np.abs(x.T @ (p - y) / len(y) + 0.05 * np.array(weights)).max() < 1e-8 and abs((p - y).mean()) < 1e-8
+    urls.judge(table)
+    assert urls._built_in(spark) is urls._built_in(None)
+    try:
+        urls.train(spark.range(urls.MOST_LABELLED + 1).selectExpr("'http://a.org/' as url", "id % 2 as label"))
+        raise AssertionError("a large table was taken")
+    except ValueError:
+        pass
+
+
+def test_urls_repeated_rows_empty_table_and_ties(spark):
+    rows = spark.createDataFrame([(1, "http://a.net/x", "s"), (1, "http://a.net/x", "s"), (None, None, None)], "page_id long, url string, score string")
+    got = urls.judge(rows)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict", "score"] and got.count() == 3
+    assert [(r.rule, r.verdict) for r in got.where("page_id = 1").collect()] == [("net/", "block")] * 2
+    assert urls.judge(rows.limit(0)).count() == 0
+    tied = urls.judge(rows, rules=(("allow", "net", "/"), ("block", "net", "/")))
+    assert {r.verdict for r in tied.where("page_id = 1").collect()} == {"allow"}  # the first of equally long rules
+
+
+def test_long_page_and_empty_table(spark):
+    story = "".join(f"<p>line {i} of a long tale</p>" for i in range(20_000))
+    rows = [(1, "http://l.org/a", f"<div>Home</div>{story}<div>Imprint</div>"), (2, "http://l.org/b", "<div>Home</div><p>short one here</p><div>Imprint</div>")]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[1].text.startswith("line 0 of") and got[1].text.endswith("line 19999 of a long tale") and got[2].text == "short one here"
+    assert html.extract(spark.createDataFrame([], PAGES)).collect() == []
