@@ -7,7 +7,7 @@ enough is probed for in the long lists by binary search (Li, Lu and Lu, 2008).
 
 How documents get together, without writing all pairs of a group:
 
-1. A first scan makes each set's size and 128-bit fingerprint, and counts shingles in a sketch of fixed
+1. A first scan makes each set's size and 128-bit fingerprint, and counts shingles in a sketch of bounded
    size. Documents of equal sets are one set from here on.
 2. Shingles have one global order: rare by the sketch first, then by hash. Any order is right; this one
    keeps common passages out of the prefixes. Sets that link share a shingle among their first
@@ -15,7 +15,8 @@ How documents get together, without writing all pairs of a group:
 3. Short lists give pairs, of which those that share too few prefix shingles to reach T go. Long lists
    give a star each, from a set to those of compatible size. Both are searched exactly.
 4. Long lists that still hold several components are searched again: what is not of the list's
-   largest component against the whole list, by blocks of bounded size.
+   largest component against the whole list, by blocks of bounded size. Prefixes go to the blocks first, and
+   texts to those where a link is possible.
 
 Only edges that join something come back from a search. The result is exact, but for collisions of
 64-bit shingle hashes within two sets and of 128-bit fingerprints.
@@ -36,13 +37,19 @@ from pyspark.sql import functions as F
 from sparrel.llm.common import Groups, components, saved, slices, small
 from sparrel.llm.shingles import mix, shingle_set
 
-#: Counters of the sketch, one byte each in a task and two bytes in the broadcast sum.
-SLOTS = 1 << 21
+#: Counters of the sketch, by the number of documents: eight a document from the least to the most. They take two
+#: bytes each in a task and one in the broadcast ranks, so 16 MB at most.
+SLOTS, MOST_SLOTS = 1 << 21, 1 << 24
 _PART = 1 << 16
+#: Ranks of counts: sixths of a power of two.
+_STEP = 6
 #: Sets in a list up to which its pairs are written one by one.
 SHORT = 64
-#: Sets of a block on the average, and shingles of an index at most (but for one larger set).
-BLOCK, INDEX = 512, 1 << 20
+#: Documents that have a shingle, from which on its list is dealt out over several tasks, so many to a task.
+HOT = 1 << 16
+#: Targets of a query in a unit of a star; sets of a block of a long list on the average; and shingles of an index
+#: at most (but for one larger set).
+SPREAD, BLOCK, INDEX = 64, 256, 1 << 20
 
 
 def occurrences(n: int, m: int, percent: int) -> int:
@@ -53,10 +60,9 @@ def occurrences(n: int, m: int, percent: int) -> int:
 class Prefixes:
     """Prefixes of a block of sets, to tell at once which sets a query can link with at all."""
 
-    def __init__(self, sets: list[np.ndarray], prefixes: list[np.ndarray], percent: int) -> None:
-        self.percent = percent
-        self.sizes = np.array([len(s) for s in sets])
-        token, owner = np.concatenate(prefixes), np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
+    def __init__(self, prefixes: list[np.ndarray], sizes: np.ndarray, percent: int) -> None:
+        self.percent, self.sizes = percent, sizes
+        token, owner = np.concatenate(prefixes), np.repeat(np.arange(len(sizes)), [len(p) for p in prefixes])
         order = np.argsort(token, kind="stable")
         self.token, self.owner = token[order], owner[order]
 
@@ -154,49 +160,73 @@ def _print(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
 
 
-def _slot(s: np.ndarray) -> np.ndarray:
-    return (s & np.uint64(SLOTS - 1)).astype(np.int64)
+def _slot(s: np.ndarray, slots: int) -> np.ndarray:
+    return (s & np.uint64(slots - 1)).astype(np.int64)
 
 
-def scan(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, f, g): the size and fingerprint of each document's set; and the sketch: how often
+def slots_for(documents: int) -> int:
+    slots = SLOTS
+    while slots < 8 * documents and slots < MOST_SLOTS:
+        slots *= 2
+    return slots
+
+
+def scan(docs: DataFrame, size: int, slots: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, f, g): the size and fingerprint of each document's set; and the sketch: ranks of how often
     shingles of each slot occur, over all documents."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SLOTS, dtype=np.uint8)
+        sketch = np.zeros(slots, dtype=np.uint16)
         names = ["doc_id", "n", "f", "g", "part", "counts"]
         for batch in slices(batches, "text"):
             rows = []
             for s in _texts(batch, size):
-                slot = np.unique(_slot(s))
-                sketch[slot] += sketch[slot] < 255
+                slot = np.unique(_slot(s, slots))
+                sketch[slot] += sketch[slot] < 65535
                 rows.append((len(s), *_print(s)))
             n, f, g = zip(*rows, strict=True)
             none = pa.nulls(len(rows))
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        parts = [p for p in range(SLOTS // _PART) if sketch[p * _PART : (p + 1) * _PART].any()]
-        none = pa.nulls(len(parts), pa.int64())
-        counts = pa.array([sketch[p * _PART : (p + 1) * _PART].tobytes() for p in parts], pa.binary())
-        yield pa.record_batch([none, none, none, none, pa.array(parts, pa.int32()), counts], names=names)
+        for p in range(slots // _PART):
+            counts = sketch[p * _PART : (p + 1) * _PART]
+            if counts.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.record_batch([none, none, none, none, pa.array([p], pa.int32()), pa.array([counts.astype("<u2").tobytes()], pa.binary())], names=names)
 
     rows = saved(docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n long, f long, g long, part int, counts binary"), "scan")
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """Sums of a part's counters, for parts that come one after another."""
+        part, whole = None, np.zeros(_PART, dtype="<u4")
         for batch in batches:
             for p, c in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                wide = np.frombuffer(c, dtype=np.uint8 if len(c) == _PART else np.int64)
-                sums[p] = sums.get(p, 0) + wide.astype(np.int64)
-        yield pa.record_batch([pa.array(sums.keys(), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
+                if p != part:
+                    if part is not None:
+                        yield part, whole
+                    part, whole = p, np.zeros(_PART, dtype="<u4")
+                more = np.frombuffer(c, dtype="<u2" if len(c) == 2 * _PART else "<u4")
+                whole += np.minimum(more, np.uint32(0xFFFFFFFF) - whole)
+        if part is not None:
+            yield part, whole
 
-    # a part's counters are summed as they stream by: first in 32 shares, then those
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, c in total(batches):
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["part", "counts"])
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, c in total(batches):
+            rank = np.round(np.log2(np.maximum(c, 1)) * _STEP).astype(np.uint8)  # the order needs no more
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([rank.tobytes()], pa.binary())], names=["part", "rank"])
+
+    # a part's counters are summed as they stream by, first those of 64 tasks of the scan each, if there are more
     parts = rows.where("part is not null").select("part", "counts")
-    shares = parts.repartition(64, "part", F.pmod(F.xxhash64("counts"), F.lit(32))).mapInArrow(summed, "part int, counts binary")
-    whole = np.zeros(SLOTS, dtype=np.int64)
-    for r in shares.repartition(16, "part").mapInArrow(summed, "part int, counts binary").toLocalIterator():
-        whole[r.part * _PART : (r.part + 1) * _PART] = np.frombuffer(r.counts, dtype=np.int64)
-    # the order needs ranks of counts only: sixteenths of a power of two
-    rank = np.round(np.log2(np.maximum(whole, 1)) * 16).astype(np.uint16)
+    tasks = parts.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    if tasks > 64:
+        share = F.pmod(F.xxhash64("counts"), F.lit(-(-tasks // 64)))
+        parts = parts.repartition("part", share).sortWithinPartitions("part").mapInArrow(summed, "part int, counts binary")
+    rank = np.zeros(slots, dtype=np.uint8)
+    for r in parts.repartition("part").sortWithinPartitions("part").mapInArrow(ranked, "part int, rank binary").collect():  # a byte a slot
+        rank[r.part * _PART : (r.part + 1) * _PART] = np.frombuffer(r.rank, dtype=np.uint8)
     return rows.where("part is null").select("doc_id", "n", "f", "g"), rank
 
 
@@ -205,76 +235,105 @@ def prefix(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     p = len(s) + percent * len(s) // -100 + 1
     if p >= len(s):
         return s
-    key = rank[_slot(s)]
+    key = rank[_slot(s, len(rank))]
     edge = np.partition(key, p - 1)[p - 1]
     below = s[key < edge]
     return np.concatenate([below, np.sort(s[key == edge])[: p - len(below)]])
 
 
-def lists(docs: DataFrame, rank: Broadcast, size: int, percent: int) -> DataFrame:
-    """Prefix lists of two sets or more: (token, id, n, m, star). id: a document of the set, the same
+def _runs(n: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Runs of ascending sizes that are near enough to the first of the run to link with it."""
+    at = 0
+    while at < len(n):
+        stop = int(np.searchsorted(n, n[at] * 100 // percent, side="right"))
+        yield at, stop
+        at = stop
+
+
+def _whole(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of batches that are sorted by the first `keys` of them, cut where those change."""
+    carry = [np.empty(0, np.int64)] * len(names)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [np.concatenate([c, batch.column(k).to_numpy()]) for c, k in zip(carry, names, strict=True)]
+        same = np.ones(len(now[0]), dtype=bool)
+        for c in now[:keys]:
+            same &= c == c[-1]
+        cut = len(same) - int(same[::-1].argmin()) if not same.all() else 0
+        if cut:
+            yield [c[:cut] for c in now]
+        carry = [c[cut:] for c in now]
+    if len(carry[0]):
+        yield carry
+
+
+def lists(docs: DataFrame, rank: Broadcast, size: int, percent: int, hot: int) -> DataFrame:
+    """Prefix lists of two sets or more: (token, id, n, m, star, salt). id: a document of the set, the same
     in all lists; m: how many sets the list has; star: for lists longer than SHORT the set of the
-    list that this one is compared with first."""
+    list that this one is compared with first. The list of a shingle that `hot` documents or more may have (by
+    the sketch) is dealt out by fingerprint, about `hot` to a part, and counts as long; salt: its part, else null."""
+    shards = np.maximum(1, 2.0 ** (np.arange(256) / _STEP) // hot).astype(np.int64)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()  # sets of this partition
         for batch in slices(batches, "text"):
-            token, ids, n, frag = [], [], [], []
+            token, salt, n, frag, ids = [], [], [], [], []
             for doc, s in zip(batch.column("doc_id").to_pylist(), _texts(batch, size), strict=True):
                 mark = (len(s), *_print(s))
                 if doc is None or not len(s) or mark in seen:
                     continue
                 seen.add(mark)
                 p = prefix(s, rank.value, percent)
-                token.append(p)
-                ids.append(np.full(len(p), doc, dtype=np.int64))
-                n.append(np.full(len(p), len(s), dtype=np.int64))
-                frag.append(np.full(len(p), mark[1], dtype=np.int64))
+                parts = shards[rank.value[_slot(p, len(rank.value))]]
+                token.append(p.view(np.int64))
+                salt.append(np.where(parts > 1, (mark[1] >> 8) % parts, -1))
+                for column, value in ((n, len(s)), (frag, mark[1]), (ids, doc)):
+                    column.append(np.full(len(p), value, dtype=np.int64))
             if token:
-                yield pa.record_batch([pa.array(np.concatenate(c).view(np.int64)) for c in (token, n, frag, ids)], names=["token", "n", "f", "id"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (token, salt, n, frag, ids)], names=["token", "salt", "n", "f", "id"])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(made, "token long, n long, f long, id long")
-    dealt = dealt.repartition("token").sortWithinPartitions("token", "n", "f", "id")
+    dealt = docs.select("doc_id", "text").mapInArrow(made, "token long, salt long, n long, f long, id long")
+    dealt = dealt.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "f", "id")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "n", "f", "id"]
-        carry = [np.empty(0, np.int64)] * 4
-
-        def whole(c: list[np.ndarray]) -> pa.RecordBatch | None:
-            """Rows of whole lists, equal sets once, lists of one gone."""
-            t, n, f, i = c
-            same = np.zeros(len(t), dtype=bool)
-            same[1:] = (t[1:] == t[:-1]) & (n[1:] == n[:-1]) & (f[1:] == f[:-1])
-            t, n, i = t[~same], n[~same], i[~same]
-            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        """Equal sets once, lists of one gone unless they are parts of a longer one."""
+        for t, salt, n, f, i in _whole(batches, ("token", "salt", "n", "f", "id"), 2):
+            new = np.ones(len(t), dtype=bool)
+            new[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1]) | (n[1:] != n[:-1]) | (f[1:] != f[:-1])
+            t, salt, n, i = t[new], salt[new], n[new], i[new]
+            first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])))
             m = np.diff(np.append(first, len(t)))
-            keep = np.repeat(m > 1, m)
+            m = np.where(salt[first] >= 0, np.maximum(m, SHORT + 1), m)
+            ends = np.append(first[1:], len(t))
             star = np.full(len(t), -1, dtype=np.int64)
-            centre = np.zeros(len(t), dtype=bool)
-            for lo, k in zip(first[m > SHORT], m[m > SHORT], strict=True):
-                at = lo
-                while at < lo + k:  # sizes ascend, so a star ends where they are too far apart
-                    stop = lo + int(np.searchsorted(n[lo : lo + k], n[at] * 100 // percent, side="right"))
-                    star[at:stop], centre[at] = i[at], True
-                    at = stop
-            if not keep.any():
-                return None
-            m = np.repeat(m, m)
-            lone = (star < 0) | centre
-            return pa.record_batch([pa.array(x[keep]) for x in (t, i, n, m)] + [pa.array(star[keep], mask=lone[keep])], names=["token", "id", "n", "m", "star"])
+            for lo, hi in zip(first[m > SHORT], ends[m > SHORT], strict=True):
+                for a, b in _runs(n[lo:hi], percent):
+                    star[lo + a + 1 : lo + b] = i[lo + a]
+            m = np.repeat(m, ends - first)
+            keep = m > 1
+            if keep.any():
+                yield pa.record_batch([pa.array(x[keep]) for x in (t, i, n, m)] + [pa.array(star[keep], mask=star[keep] < 0), pa.array(salt[keep], mask=salt[keep] < 0)], names=["token", "id", "n", "m", "star", "salt"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [np.concatenate([c, batch.column(k).to_numpy()]) for c, k in zip(carry, names, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
-            if cut and (out := whole([c[:cut] for c in now])) is not None:
-                yield out
-            carry = [c[cut:] for c in now]
-        if len(carry[0]) and (out := whole(carry)) is not None:
-            yield out
+    return saved(dealt.mapInArrow(chosen, "token long, id long, n long, m long, star long, salt long"), "lists")
+
+
+def centres(long: DataFrame, percent: int) -> DataFrame:
+    """Pairs (query, target) among the centres of the parts that a list was dealt out in."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, n, i in _whole(batches, ("token", "n", "id"), 1):
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            star = np.full(len(t), -1, dtype=np.int64)
+            for lo, hi in zip(first, np.append(first[1:], len(t)), strict=True):
+                for a, b in _runs(n[lo:hi], percent):
+                    star[lo + a + 1 : lo + b] = i[lo + a]
+            keep = star >= 0
+            if keep.any():
+                yield pa.record_batch([pa.array(star[keep]), pa.array(i[keep])], names=["query", "target"])
 
-    return saved(dealt.mapInArrow(chosen, "token long, id long, n long, m long, star long"), "lists")
+    parts = long.where("salt is not null and star is null").select("token", "n", "id")
+    return parts.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(met, "query long, target long")
 
 
 def pairs(short: DataFrame, percent: int) -> DataFrame:
@@ -285,13 +344,10 @@ def pairs(short: DataFrame, percent: int) -> DataFrame:
     at least T less that many. A pair that also shares a long list isn't lost: it is met there."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.empty(0, np.int64)] * 3
-
-        def joined(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            t, n, i = c
+        for t, n, i in _whole(batches, ("token", "n", "id"), 1):
             first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            m = np.repeat(np.diff(np.append(first, len(t))), np.diff(np.append(first, len(t))))
-            place = np.arange(len(t)) - np.repeat(first, np.diff(np.append(first, len(t))))
+            many = np.diff(np.append(first, len(t)))
+            m, place = np.repeat(many, many), np.arange(len(t)) - np.repeat(first, many)
             for step in range(1, int(m.max())):
                 a = np.flatnonzero(place + step < m)
                 b = a + step
@@ -301,17 +357,6 @@ def pairs(short: DataFrame, percent: int) -> DataFrame:
                     lo, hi = np.where(swap, b, a), np.where(swap, a, b)
                     yield pa.record_batch([pa.array(x) for x in (i[lo], i[hi], n[lo], n[hi])], names=["query", "target", "qn", "tn"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [np.concatenate([c, batch.column(k).to_numpy()]) for c, k in zip(carry, ("token", "n", "id"), strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
-            if cut:
-                yield from joined([c[:cut] for c in now])
-            carry = [c[cut:] for c in now]
-        if len(carry[0]):
-            yield from joined(carry)
-
     dealt = short.select("token", "n", "id").repartition("token").sortWithinPartitions("token", "n", "id")
     met = dealt.mapInArrow(made, "query long, target long, qn long, tn long")
     met = met.groupBy("query", "target", "qn", "tn").agg(F.count(F.lit(1)).alias("c"))
@@ -320,16 +365,103 @@ def pairs(short: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("c") >= need - others).select("query", "target")
 
 
-def searched(units: DataFrame, docs: DataFrame, rank: Broadcast, size: int, percent: int) -> DataFrame:
-    """Exact links (a, b) found in units of work (u, v, w, target, id, comp,
-    lists), a saved table: all
+def texts_of(units: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the sets that units name, each once, as a saved table."""
+    wanted = saved(units.select("id").distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(wanted), "id", "left_semi")
+    return saved(texts.dropDuplicates(["id"]), "texts")
+
+
+def _early(also: list[int] | None, u: int, places: dict[int, int], query: bool) -> int:
+    """The lists before list u that hold a set, as bits; those without a query don't matter."""
+    early = [t for t in also or () if t < u]
+    if query:
+        for t in early:
+            places.setdefault(t, len(places))
+    return sum(1 << places[t] for t in early if t in places)
+
+
+def hopeful(units: DataFrame, texts: DataFrame, rank: Broadcast, size: int, percent: int) -> DataFrame:
+    """Of units (see searched) the rows whose prefixes allow a link with another row of the unit that they aren't
+    joined with. Here prefixes travel with the rows, by 32 bits a shingle: shingles that fall together
+    only leave more rows. So texts go to the units that they may link in, not to all."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = list(_texts(batch, size))
+            marks = [np.sort((prefix(s, rank.value, percent) >> np.uint64(32)).astype("<u4")).tobytes() for s in sets]
+            yield pa.record_batch([batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(marks, pa.binary())], names=["id", "n", "prefix"])
+
+    signs = saved(texts.mapInArrow(signed, "id long, n long, prefix binary"), "signs")
+    n = 2 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = units.join(signs, "id").select(*units.columns, "n", "prefix")
+    rows = rows.repartition(n, "u", "v", "w").sortWithinPartitions("u", "v", "w", "target")
+    names = units.columns
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = None
+        queries: list[tuple] = []  # row, comp, bits, n, prefix
+        targets: list[tuple] = []
+        places: dict[int, int] = {}
+        hit: set[int] = set()  # queries that may link
+
+        def search() -> pa.RecordBatch | None:
+            marks = [t[4] for t in targets]
+            prefixes = Prefixes(marks, np.array([t[3] for t in targets]), percent)
+            comps, bits = np.array([t[1] for t in targets]), [t[2] for t in targets]
+            wanted = np.zeros(len(targets), dtype=bool)
+            for k, (_, comp, early, m, mark) in enumerate(queries):
+                near = prefixes.candidates(m, mark)
+                near = near[comps[near] != comp]
+                if early:
+                    near = near[[not early & bits[i] for i in near]]
+                if len(near):
+                    hit.add(k)
+                    wanted[near] = True
+            kept = [t[0] for t, w in zip(targets, wanted, strict=True) if w]
+            targets.clear()
+            return table(kept)
+
+        def table(kept: list[tuple]) -> pa.RecordBatch | None:
+            if not kept:
+                return None
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), types, strict=True)], names=names)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if targets and (out := search()) is not None:
+                yield out
+            if (out := table([queries[k][0] for k in sorted(hit)])) is not None:
+                yield out
+            queries.clear()
+            places.clear()
+            hit.clear()
+
+        for batch in batches:
+            for *row, m, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                u, v, w, target, i, comp, also = row
+                if (u, v, w) != unit:
+                    if unit is not None:
+                        yield from close()
+                    unit = (u, v, w)
+                side = targets if target else queries
+                side.append((tuple(row), i if comp is None else comp, _early(also, u, places, not target), m, np.frombuffer(mark, "<u4")))
+                if target and len(targets) >= 2 * BLOCK and (out := search()) is not None:
+                    yield out
+        if unit is not None:
+            yield from close()
+
+    ddl = "u long, v long, w long, target boolean, id long, comp long, lists array<long>"
+    return saved(rows.mapInArrow(made, ddl), "hopeful")
+
+
+def searched(units: DataFrame, texts: DataFrame, rank: Broadcast, size: int, percent: int) -> DataFrame:
+    """Exact links (a, b) found in units of work (u, v, w, target, id, comp, lists), a saved table: all
     queries of a unit are searched for in an index of those of its targets whose prefixes allow a link,
     that aren't joined with the query yet (by links found before or by comp, if that is not null) and
     that share no list before this one with it.
     Of the links, those come back that join something in the unit."""
-    wanted = saved(units.select("id").distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(wanted), "id", "left_semi")
-    rows = units.join(saved(texts.dropDuplicates(["id"]), "texts"), "id")
+    rows = units.join(texts, "id")
     n = 2 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
     rows = rows.repartition(n, "u", "v", "w").sortWithinPartitions("u", "v", "w", "target")
 
@@ -341,18 +473,10 @@ def searched(units: DataFrame, docs: DataFrame, rank: Broadcast, size: int, perc
         places: dict[int, int] = {}
         found: list[tuple[int, int]] = []
 
-        def bits(u: int, also: list[int] | None, query: bool) -> int:
-            """The lists before this one that hold a set, as bits; those without a query don't matter."""
-            early = [t for t in also or () if t < u]
-            if query:
-                for t in early:
-                    places.setdefault(t, len(places))
-            return sum(1 << places[t] for t in early if t in places)
-
         def search() -> None:
             """Every query against the targets that it isn't joined with yet."""
             sets = [s for _, s, _ in targets]
-            prefixes = Prefixes(sets, [prefix(s, rank.value, percent) for s in sets], percent)
+            prefixes = Prefixes([prefix(s, rank.value, percent) for s in sets], np.array(list(map(len, sets))), percent)
             for q, s, early in queries:
                 own = groups.root(q)
                 near = prefixes.candidates(len(s), prefix(s, rank.value, percent)).tolist()
@@ -384,7 +508,7 @@ def searched(units: DataFrame, docs: DataFrame, rank: Broadcast, size: int, perc
                         unit, held = (u, v, w), 0
                     if comp is not None:
                         groups.join(i, comp)  # a component is known by one of its sets
-                    (targets if target else queries).append((i, s, bits(u, also, not target)))
+                    (targets if target else queries).append((i, s, _early(also, u, places, not target)))
                     held += len(s) * target
                     if target and (len(targets) >= BLOCK or held > INDEX):
                         search()
@@ -397,8 +521,8 @@ def searched(units: DataFrame, docs: DataFrame, rank: Broadcast, size: int, perc
 
 def _salted(edges: DataFrame) -> DataFrame:
     """Units of one query each for edges (query, target): a query with many targets has a unit for
-    each BLOCK of them."""
-    many = edges.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    each SPREAD of them."""
+    many = edges.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("blocks"))
     dealt = edges.join(many, "query").withColumn("v", F.pmod(F.xxhash64("target"), F.col("blocks")))
     fixed = [F.lit(-1).cast("long").alias("w"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("array<long>").alias("lists")]
     targets = dealt.select(F.col("query").alias("u"), "v", F.lit(True).alias("target"), F.col("target").alias("id"), *fixed)
@@ -427,10 +551,10 @@ def _blocked(long: DataFrame, joined: DataFrame) -> DataFrame:
     return queries.withColumnRenamed("token", "u").select(*names).unionByName(targets.withColumnRenamed("token", "u").select(*names))
 
 
-def _numbered(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _numbered(docs: DataFrame, size: int, percent: int, hot: int) -> DataFrame:
     """near_duplicates() of documents whose doc_id doesn't tell sets apart, by numbers of their rows."""
     rows = saved(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    got = near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"), size=size, percent=percent)
+    got = near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"), size=size, percent=percent, hot=hot)
     got = saved(got.toDF("row", "n_shingles", "of"), "numbered")
     known = got.where("row is not null").join(rows.where("doc_id is not null").select("row", "doc_id"), "row")
     least = saved(known.groupBy("of").agg(F.min("doc_id").alias("component_id")), "least")
@@ -439,29 +563,33 @@ def _numbered(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return known.unionByName(got.where("row is null").select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, hot: int = HOT) -> DataFrame:
     """For documents (doc_id, text): doc_id, n_shingles and component_id, a row for each row.
 
     A set is the distinct runs of `size` words (see shingles); with fewer words it is the whole sequence;
     without words or text (null too) it is empty and links with nothing. Documents link when
     100 * intersection >= percent * union; component_id is the smallest doc_id that links reach.
     Rows with null doc_id link with nothing and have a null component. Repeated rows stay. Rows of one
-    doc_id with different texts are documents of their own, each with the component of its text."""
+    doc_id with different texts are documents of their own, each with the component of its text. hot: see
+    lists; results don't depend on it."""
     docs = docs.select("doc_id", "text")
-    sets, ranks = scan(docs, size)
+    sets, ranks = scan(docs, size, slots_for(docs.count()))
     several = sets.where("doc_id is not null and n > 0").groupBy("doc_id").agg(*(f(c).alias(f"{k}_{c}") for c in "nfg" for k, f in (("min", F.min), ("max", F.max))))
     if several.where("min_n < max_n or min_f < max_f or min_g < max_g").limit(1).count():
-        return _numbered(docs, size, percent)
+        return _numbered(docs, size, percent, hot)
     rank = docs.sparkSession.sparkContext.broadcast(ranks)
     usable = sets.where("doc_id is not null and n > 0")
     reps = usable.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"))
-    listed = lists(docs, rank, size, percent)
+    listed = lists(docs, rank, size, percent, hot)
     short, long = listed.where(F.col("m") <= SHORT), listed.where(F.col("m") > SHORT)
     stars = long.where("star is not null").select(F.col("star").alias("query"), F.col("id").alias("target"))
+    stars = stars.unionByName(centres(long, percent))
     edges = saved(pairs(short, percent).unionByName(stars.distinct()).distinct(), "pairs")
-    links = searched(saved(_salted(edges), "units"), docs, rank, size, percent)
+    units = saved(_salted(edges), "units")
+    links = searched(units, texts_of(units, docs), rank, size, percent)
     units = saved(_blocked(long, components(links)), "blocks")
-    links = links.unionByName(searched(units, docs, rank, size, percent))
+    texts = texts_of(units, docs)
+    links = links.unionByName(searched(hopeful(units, texts, rank, size, percent), texts, rank, size, percent))
 
     # a list's id is some document of its set: translate to the smallest
     ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()

@@ -135,6 +135,39 @@ def test_large_group_of_near_copies_and_a_common_passage(spark):
     assert near(spark, rows) == brute_components(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 9])
+def test_lists_dealt_out_lose_no_link(spark, monkeypatch, hot):
+    """Lists in parts, centres of parts, blocks by prefixes: the same components."""
+    monkeypatch.setattr(jaccard, "SHORT", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "SPREAD", 2)
+    rng = random.Random(hot)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(base[:k] + [f"x{rng.randrange(30)}"] + base[k + 1 :])) for i in range(120) for k in [rng.randrange(40)]]
+    rows += [(500 + i, " ".join(base[:30] + [f"y{i % 40}_{k}" for k in range(9)])) for i in range(80)]
+    rows += [(900 + i, t) for i, (_, t) in enumerate(corpus(hot, 60))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS), hot=hot).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+
+
+def test_sketch_is_sized_by_the_corpus_and_counts_all(spark):
+    assert jaccard.slots_for(0) == jaccard.slots_for(262_144) == jaccard.SLOTS
+    assert jaccard.slots_for(262_145) == 2 * jaccard.SLOTS and jaccard.slots_for(10**12) == jaccard.MOST_SLOTS
+    docs = spark.createDataFrame([(i, "one common passage of six words here" if i % 2 else f"{i} b c d e") for i in range(600)], DOCS).repartition(70)
+    sets, rank = jaccard.scan(docs, 5, jaccard.SLOTS)
+    assert sets.count() == 600
+    common = jaccard.shingle_set(b"one common passage of six words here")
+    assert set(rank[jaccard._slot(common, len(rank))].tolist()) == {round(np.log2(300) * 6)}
+
+
+def test_near_duplicates_ignore_other_columns(spark):
+    rows = [(1, "a b c d e f", 9, 9, "x"), (2, "a b c d e f", 8, 8, "y"), (3, "g h i j k l", 7, 7, None)]
+    docs = spark.createDataFrame(rows, DOCS + ", n_shingles int, component_id int, id string")
+    got = jaccard.near_duplicates(docs)
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 1), (2, 2, 1), (3, 2, 3)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near(spark, [(1, None)]) == [(1, 0, 1)]
     assert jaccard.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
