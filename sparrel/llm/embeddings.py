@@ -5,7 +5,8 @@ Equal vectors of a label are one vector with a count. Tables make buckets of qua
 projections; buckets of one vector go at once. Larger ones are cut into blocks by a hash of the id and
 every pair of blocks is a unit of work of bounded size; a unit multiplies its two blocks and gives
 back, for each vector, its number of links and one edge, so pairs are never written. A pair that meets
-in several tables counts in the first of them only.
+in several tables counts in the first of them only; a unit whose vectors all share a bucket of an
+earlier table is done with.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrel.llm.common import components, saved
+from sparrel.llm.common import components, saved, small
 from sparrel.llm.shingles import mix
 
 #: Vectors of a block at most, on average: a unit of work has two blocks.
-BLOCK = 1024
+BLOCK = 512
 
 
 def usable(embedding: str = "embedding", label: str = "label") -> Column:
@@ -31,10 +33,15 @@ def usable(embedding: str = "embedding", label: str = "label") -> Column:
     return F.col(label).isNotNull() & c.isNotNull() & (F.size(c) > 0) & ~bad & F.exists(c, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    x = np.array(rows, dtype=np.float64)
-    return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All components one after another, and where each vector starts and the last one ends."""
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.append(0, np.cumsum(size))
+
+
+def _normalised(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def table_keys(x: np.ndarray, tables: int, projections: int, width: float, seed: int) -> np.ndarray:
@@ -48,44 +55,31 @@ def table_keys(x: np.ndarray, tables: int, projections: int, width: float, seed:
     return key.view(np.int64)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, ka: np.ndarray, kb: np.ndarray, table: int, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of linked pairs whose first common table is this one, some rows at a time."""
-    for at in range(0, len(a), 128):
-        i, j = np.nonzero(a[at : at + 128] @ b.T >= cosine)
-        i += at
-        if same:
-            i, j = i[i < j], j[i < j]
-        if table and len(i):
-            first = np.ones(len(i), dtype=bool)
-            for t in range(table):
-                first &= ka[i, t] != kb[j, t]
-            i, j = i[first], j[first]
-        if len(i):
-            yield i, j
-
-
-def _unit(ids: list[np.ndarray], n: list[np.ndarray], x: list[np.ndarray], keys: list[np.ndarray], table: int, cosine: float) -> tuple[np.ndarray, ...]:
-    """For one or two blocks: id, an id linked with it (maybe over others), and its links here."""
-    same = len(ids) == 1
-    a, b = 0, len(ids) - 1
-    shift = 0 if same else len(ids[0])
-    all_ids, all_n = np.concatenate(ids), np.concatenate(n)
-    links, root = np.zeros(len(all_ids), dtype=np.int64), np.arange(len(all_ids))
-    pairs = [(i, j + shift) for i, j in _linked(x[a], x[b], keys[a], keys[b], table, cosine, same)]
-    for i, j in pairs:
-        np.add.at(links, i, all_n[j])
-        np.add.at(links, j, all_n[i])
-    while pairs:  # lowest place by propagation
-        old = root.copy()
-        for i, j in pairs:
-            low = np.minimum(root[i], root[j])
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == old).all():
+def _unit(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None, table: int, cosine: float) -> tuple[np.ndarray, ...] | None:
+    """Links within block a, or between blocks a and b, of (id, n, normalised vectors, keys), of pairs whose
+    first common table is this one: id, an id linked with it (maybe over others), and its links here."""
+    (ids, n, x, keys), (other_ids, m, y, other_keys) = a, b or a
+    i, j = np.nonzero(x @ y.T >= cosine)
+    if b is None:
+        i, j = i[i != j], j[i != j]
+    for t in range(table):
+        first = keys[i, t] != other_keys[j, t]
+        i, j = i[first], j[first]
+    if not len(i):
+        return None
+    hit = np.zeros((len(ids), len(other_ids)), dtype=bool)
+    hit[i, j] = True
+    links = [hit @ n] if b is None else [hit @ m, n @ hit]
+    low = [np.arange(len(ids)), np.arange(len(ids), len(ids) + len(other_ids))] if b else [np.arange(len(ids))]
+    while True:  # lowest place by propagation
+        least = np.minimum(low[0], np.where(hit, low[-1][None, :], low[0][:, None]).min(1))
+        new = [least] if b is None else [least, np.minimum(low[1], np.where(hit, least[:, None], low[1][None, :]).min(0))]
+        if all((p == q).all() for p, q in zip(low, new, strict=True)):
             break
-    hit = links > 0
-    return all_ids[hit], all_ids[root[hit]], links[hit]
+        low = new
+    all_ids, count, root = (np.concatenate(c) for c in ([ids, other_ids] if b else [ids], links, low))
+    some = count > 0
+    return all_ids[some], all_ids[root[some]], count[some]
 
 
 def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: int = 32, projections: int = 10, width: float = 1.0, seed: int = 5) -> DataFrame:
@@ -98,74 +92,84 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.98, tables: int = 3
     usable) and rows with null vec_id have no links and are their own component. Vectors of
     different lengths don't link. Labels may be of any type that can be grouped."""
     rows = vectors.select("vec_id", "embedding", "label").withColumn("_ok", usable() & F.col("vec_id").isNotNull())
-    good = rows.where("_ok")
-    reps = saved(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
+    # 128 bits that stand for label and vector where rows meet again
+    marks = [F.xxhash64("label", "embedding").alias("_a"), F.xxhash64(F.lit(seed), "embedding", "label").alias("_b")]
+    reps = rows.where("_ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    reps = reps.select("rep", "n", "embedding", F.xxhash64("label").alias("mark"), *marks)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.array([len(v) for v in batch.column("embedding").to_pylist()])
+            size = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
             for d in np.unique(size):
                 part = batch.filter(pa.array(size == d))
-                key = table_keys(_matrix(part.column("embedding")), tables, projections, width, seed)
+                flat, _ = _vectors(part.column("embedding"))
+                key = table_keys(_normalised(flat.reshape(-1, d)), tables, projections, width, seed)
                 key ^= part.column("mark").to_numpy()[:, None]
-                yield pa.record_batch([part.column("rep"), part.column("n"), part.column("embedding"), pa.array([k.tobytes() for k in key], pa.binary())], names=["rep", "n", "embedding", "keys"])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * tables, pa.int32()), pa.array(key.ravel()))
+                yield pa.record_batch([*(part.column(c) for c in ("rep", "n", "embedding", "_a", "_b")), keys], names=["rep", "n", "embedding", "_a", "_b", "keys"])
 
-    keyed = saved(reps.select("rep", "n", "embedding", F.xxhash64("label").alias("mark")).mapInArrow(hashed, f"rep long, n long, embedding {reps.schema['embedding'].dataType.simpleString()}, keys binary"), "keyed")
+    kind = reps.schema["embedding"].dataType.simpleString()
+    keyed = saved(reps.mapInArrow(hashed, f"rep long, n long, embedding {kind}, _a long, _b long, keys array<long>"), "keyed")
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                key = np.frombuffer(b"".join(batch.column("keys").to_pylist()), dtype=np.int64)
-                rep = np.repeat(batch.column("rep").to_numpy(), tables)
-                yield pa.record_batch([pa.array(rep), pa.array(key), pa.array(np.tile(np.arange(tables, dtype=np.int32), batch.num_rows))], names=["rep", "key", "t"])
-
-    buckets = keyed.select("rep", "keys").mapInArrow(dealt, "rep long, key long, t int")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = buckets.join(shared, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    buckets = keyed.select("rep", F.posexplode("keys").alias("t", "key"))
+    shared = saved(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
+    members = buckets.join(small(shared), "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     members = members.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # a unit for each pair of blocks of a bucket; a member goes to those with its block
     units = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("key", "t", F.least("b", "o").alias("u"), F.greatest("b", "o").alias("v"), (F.col("b") > F.col("o")).alias("second"), "rep")
-    units = saved(units, "units").join(keyed, "rep").repartition("key", "u", "v").sortWithinPartitions("key", "u", "v", "second")
+    units = saved(units, "units").join(keyed.select("rep", "n", "embedding", "keys"), "rep")
+    units = units.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v", "second")
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, []
-
-        def put() -> pa.RecordBatch | None:
-            part = pa.Table.from_batches(held).combine_chunks()
-            sides = [part.filter(pa.array(~s if k == 0 else s)) for s in [part.column("second").to_numpy()] for k in (0, 1)]
-            sides = [s for s in sides if s.num_rows]
-            if unit[1] != unit[2] and len(sides) < 2:
-                return None
-            got = _unit(
-                *([s.column(c).to_numpy() for s in sides] for c in ("rep", "n")),
-                [_matrix(s.column("embedding")) for s in sides],
-                [np.frombuffer(b"".join(s.column("keys").to_pylist()), dtype=np.int64).reshape(s.num_rows, -1) for s in sides],
-                part.column("t")[0].as_py(),
-                cosine,
-            )
-            return pa.record_batch([pa.array(c) for c in got], names=["rep", "other", "links"])
+        unit, held = None, []  # parts of a unit: second, table, dimension, id, n, components, keys
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def put() -> None:
+            second = np.concatenate([h[0] for h in held])
+            ids, n, keys = (np.concatenate([h[k] for h in held]) for k in (3, 4, 6))
+            table = held[0][1]
+            if len({h[2] for h in held}) > 1 or len(ids) < 2 or unit[1] != unit[2] and (second.all() or not second.any()):
+                return  # keys of vectors of several lengths that fall together, or one block alone
+            if (keys[:, :table] == keys[0, :table]).all(0).any():
+                return  # all in one bucket of an earlier table
+            x = _normalised(np.concatenate([h[5] for h in held]).reshape(len(ids), -1))
+            sides = [tuple(c[side] for c in (ids, n, x, keys)) for side in (~second, second)]
+            got = _unit(sides[0], sides[1] if second.any() else None, table, cosine)
+            if got is not None:
+                found.append(got)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["rep", "other", "links"])
+                found.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "u", "v")])
-            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
+            key, u, v, t, second, rep, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "u", "v", "t", "second", "rep", "n"))
+            flat, start = _vectors(batch.column("embedding"))
+            keys = batch.column("keys").flatten().to_numpy().reshape(len(key), tables)
+            size = np.diff(start)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (size[1:] != size[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                now = tuple(place[:, lo])
+                now = (key[lo], u[lo], v[lo])
                 if now != unit:
-                    if held and (out := put()) is not None:
-                        yield out
+                    if held:
+                        put()
                     unit, held = now, []
-                held.append(batch.slice(lo, hi - lo))
-        if held and (out := put()) is not None:
-            yield out
+                held.append((second[lo:hi], int(t[lo]), int(size[lo]), rep[lo:hi], n[lo:hi], flat[start[lo] : start[hi]], keys[lo:hi]))
+            yield from out()
+        if held:
+            put()
+        yield from out()
 
     links = saved(units.mapInArrow(multiplied, "rep long, other long, links long"), "links")
     count = links.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(links.select("rep", "other")).withColumnRenamed("node", "rep")
-    found = reps.join(count, "rep", "left").join(joined, "rep", "left")
-    found = found.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
-    out = rows.join(found, F.col("_ok") & (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
+    found = keyed.select("rep", "n", "_a", "_b").join(count, "rep", "left").join(joined, "rep", "left")
+    found = found.select("_a", "_b", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
+    mine = rows.select("vec_id", *(F.when(F.col("_ok"), c).alias(f"_{k}") for k, c in zip("ab", marks, strict=True)))
+    out = mine.join(found, ["_a", "_b"], "left")
     whole = F.coalesce("_c", "vec_id")
     return out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), whole.alias("component_id"), F.coalesce(F.col("vec_id") == whole, F.lit(False)).alias("kept"))

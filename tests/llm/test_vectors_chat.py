@@ -109,3 +109,36 @@ def test_labels_of_any_type(spark):
     rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.001], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None), (5, [2.0, 0.0], "a")]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).orderBy("vec_id").collect()
     assert [(r.n_links, r.component_id, r.kept) for r in got] == [(2, 1, True), (2, 1, False), (0, 3, True), (0, 4, True), (2, 1, False)]
+
+
+def test_recall_measure_and_other_columns(spark):
+    from sparrel.llm import recall
+
+    rows = [(*r, "x", 7, 8) for r in made(4, 200, 12)] + [(5000, None, 1, None, None, None)]
+    vectors = spark.createDataFrame(rows, VECTORS + ", kept string, n_links int, key int")
+    found, there = recall.recall(vectors)
+    want = sum(r[1] for r in brute([r[:3] for r in rows]))
+    assert there == want and found >= 0.99 * there
+    assert embeddings.near_duplicates(vectors).columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert recall.recall(vectors.limit(0)) == (0, 0)
+
+
+def test_units_of_two_blocks_count_as_one_block_does():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    x[20:45] = x[0] + rng.normal(size=(25, 8)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, n, keys = np.arange(60) * 10, rng.integers(1, 4, 60), rng.integers(0, 2, (60, 3))
+    hit = (x @ x.T >= 0.98) & ~np.eye(60, dtype=bool)
+    for t in range(3):
+        for s in range(t):
+            hit &= keys[:, None, s] != keys[None, :, s]
+        whole = embeddings._unit((ids, n, x, keys), None, t, 0.98)
+        got = dict(zip(whole[0].tolist(), whole[2].tolist(), strict=True)) if whole else {}
+        assert got == {int(ids[i]): int(c) for i, c in enumerate(hit @ n) if c}
+        parts = {}
+        for a, b in ((slice(0, 30), None), (slice(30, 60), None), (slice(0, 30), slice(30, 60))):
+            unit = embeddings._unit(tuple(c[a] for c in (ids, n, x, keys)), b and tuple(c[b] for c in (ids, n, x, keys)), t, 0.98)
+            for i, _, c in zip(*unit, strict=True) if unit else ():
+                parts[int(i)] = parts.get(int(i), 0) + int(c)
+        assert parts == got
