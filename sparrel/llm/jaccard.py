@@ -47,9 +47,9 @@ _STEP = 6
 SHORT = 64
 #: Documents that have a shingle, from which on its list is dealt out over several tasks, so many to a task.
 HOT = 1 << 16
-#: Targets of a query in a unit of a star; sets of a block of a long list on the average; and shingles of an index
-#: at most (but for one larger set).
-SPREAD, BLOCK, INDEX = 64, 256, 1 << 20
+#: Targets of a query in a unit of a star; sets of a block of a long list on the average; queries of a block that
+#: are searched for in one go; and shingles of an index at most (but for one larger set).
+SPREAD, BLOCK, PART, INDEX = 64, 2048, 256, 1 << 20
 
 
 def occurrences(n: int, m: int, percent: int) -> int:
@@ -274,6 +274,7 @@ def lists(docs: DataFrame, rank: Broadcast, size: int, percent: int, hot: int) -
     list that this one is compared with first. The list of a shingle that `hot` documents or more may have (by
     the sketch) is dealt out by fingerprint, about `hot` to a part, and counts as long; salt: its part, else null."""
     shards = np.maximum(1, 2.0 ** (np.arange(256) / _STEP) // hot).astype(np.int64)
+    dealing = bool(shards[rank.value.max()] > 1)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()  # sets of this partition
@@ -285,9 +286,12 @@ def lists(docs: DataFrame, rank: Broadcast, size: int, percent: int, hot: int) -
                     continue
                 seen.add(mark)
                 p = prefix(s, rank.value, percent)
-                parts = shards[rank.value[_slot(p, len(rank.value))]]
                 token.append(p.view(np.int64))
-                salt.append(np.where(parts > 1, (mark[1] >> 8) % parts, -1))
+                if dealing:
+                    parts = shards[rank.value[_slot(p, len(rank.value))]]
+                    salt.append(np.where(parts > 1, (mark[1] >> 8) % parts, -1))
+                else:
+                    salt.append(np.full(len(p), -1))
                 for column, value in ((n, len(s)), (frag, mark[1]), (ids, doc)):
                     column.append(np.full(len(p), value, dtype=np.int64))
             if token:
@@ -384,7 +388,8 @@ def _early(also: list[int] | None, u: int, places: dict[int, int], query: bool)
 def hopeful(units: DataFrame, texts: DataFrame, rank: Broadcast, size: int, percent: int) -> DataFrame:
     """Of units (see searched) the rows whose prefixes allow a link with another row of the unit that they aren't
     joined with. Here prefixes travel with the rows, by 32 bits a shingle: shingles that fall together
-    only leave more rows. So texts go to the units that they may link in, not to all."""
+    only leave more rows. So texts go to the units that they may link in, not to all. PART queries and their
+    targets make a unit of their own."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -404,12 +409,13 @@ def hopeful(units: DataFrame, texts: DataFrame, rank: Broadcast, size: int, perc
         targets: list[tuple] = []
         places: dict[int, int] = {}
         hit: set[int] = set()  # queries that may link
+        part = 1 << 20  # numbers of parts of a unit come after the unit's own
 
         def search() -> pa.RecordBatch | None:
             marks = [t[4] for t in targets]
             prefixes = Prefixes(marks, np.array([t[3] for t in targets]), percent)
             comps, bits = np.array([t[1] for t in targets]), [t[2] for t in targets]
-            wanted = np.zeros(len(targets), dtype=bool)
+            wanted = np.zeros((len(targets), -(-len(queries) // PART)), dtype=bool)
             for k, (_, comp, early, m, mark) in enumerate(queries):
                 near = prefixes.candidates(m, mark)
                 near = near[comps[near] != comp]
@@ -417,11 +423,14 @@ def hopeful(units: DataFrame, texts: DataFrame, rank: Broadcast, size: int, perc
                     near = near[[not early & bits[i] for i in near]]
                 if len(near):
                     hit.add(k)
-                    wanted[near] = True
-            kept = [t[0] for t, w in zip(targets, wanted, strict=True) if w]
+                    wanted[near, k // PART] = True
+            kept = [placed(targets[i][0], int(s)) for i, s in zip(*np.nonzero(wanted), strict=True)]
             targets.clear()
             return table(kept)
 
+        def placed(row: tuple, s: int) -> tuple:
+            return (*row[:2], row[2] * part + s, *row[3:])
+
         def table(kept: list[tuple]) -> pa.RecordBatch | None:
             if not kept:
                 return None
@@ -431,7 +440,7 @@ def hopeful(units: DataFrame, texts: DataFrame, rank: Broadcast, size: int, perc
         def close() -> Iterator[pa.RecordBatch]:
             if targets and (out := search()) is not None:
                 yield out
-            if (out := table([queries[k][0] for k in sorted(hit)])) is not None:
+            if (out := table([placed(queries[k][0], k // PART) for k in sorted(hit)])) is not None:
                 yield out
             queries.clear()
             places.clear()
@@ -446,7 +455,7 @@ def hopeful(units: DataFrame, texts: DataFrame, rank: Broadcast, size: int, perc
                     unit = (u, v, w)
                 side = targets if target else queries
                 side.append((tuple(row), i if comp is None else comp, _early(also, u, places, not target), m, np.frombuffer(mark, "<u4")))
-                if target and len(targets) >= 2 * BLOCK and (out := search()) is not None:
+                if target and len(targets) >= BLOCK and (out := search()) is not None:
                     yield out
         if unit is not None:
             yield from close()
@@ -522,8 +531,8 @@ def searched(units: DataFrame, texts: DataFrame, rank: Broadcast, size: int, per
 def _salted(edges: DataFrame) -> DataFrame:
     """Units of one query each for edges (query, target): a query with many targets has a unit for
     each SPREAD of them."""
-    many = edges.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("blocks"))
-    dealt = edges.join(many, "query").withColumn("v", F.pmod(F.xxhash64("target"), F.col("blocks")))
+    many = saved(edges.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("blocks")).where("blocks > 1"), "many")
+    dealt = edges.join(small(many), "query", "left").withColumn("v", F.pmod(F.xxhash64("target"), F.coalesce("blocks", F.lit(1).cast("long"))))
     fixed = [F.lit(-1).cast("long").alias("w"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("array<long>").alias("lists")]
     targets = dealt.select(F.col("query").alias("u"), "v", F.lit(True).alias("target"), F.col("target").alias("id"), *fixed)
     queries = dealt.select(F.col("query").alias("u"), "v", F.col("query").alias("id")).distinct()

@@ -141,6 +141,7 @@ def test_lists_dealt_out_lose_no_link(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "SHORT", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     monkeypatch.setattr(jaccard, "SPREAD", 2)
+    monkeypatch.setattr(jaccard, "PART", 2)
     rng = random.Random(hot)
     base = [f"b{i}" for i in range(40)]
     rows = [(i, " ".join(base[:k] + [f"x{rng.randrange(30)}"] + base[k + 1 :])) for i in range(120) for k in [rng.randrange(40)]]
