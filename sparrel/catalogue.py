@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -10,7 +9,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrel.errors import ConfigurationError
 from sparrel.functions.json import JsonInt
 from sparrel.model import DateTime, ForeignKey, Integer, Json, Model, Real, Text
 from sparrel.operators.expr import exists, not_exists, scalar
@@ -18,6 +16,7 @@ from sparrel.operators.query import Select, delete, insert, select, update
 from sparrel.runtime import Database
 from sparrel.schema import scaffold
 from sparrel.sources.files import ParquetFolder
+from sparrel.sources.scratch import scratch
 
 
 class Region(Model):
@@ -237,6 +236,29 @@ SELECTS: dict[str, tuple[Select, tuple[str, ...] | None, str]] = {
         ("n_nationkey", "n"),
         "select n_nationkey, (select count(c_custkey) from customer where c_nationkey = n_nationkey and exists (select o_orderkey from orders where o_custkey = c_custkey and o_orderkey < n_nationkey)) as n from nation",
     ),
+    "nested_limit": (
+        select(N.n_nationkey).where(exists(select(C.c_custkey).where(C.c_nationkey.eq_col(N.n_nationkey), C.c_custkey.in_subquery(select(O.o_custkey).where(O.o_orderkey.gt_col(N.n_nationkey)).order_by(O.o_orderkey.asc()).limit(40).offset(5))))),
+        None,
+        "select n_nationkey from nation where exists (select 1 from customer where c_nationkey = n_nationkey and c_custkey in"
+        " (select o_custkey from (select o_custkey, n2.n_nationkey as k, row_number() over (partition by n2.n_nationkey order by o_orderkey) as place from orders, nation n2 where o_orderkey > n2.n_nationkey) where k = nation.n_nationkey and place between 6 and 45))",
+    ),
+    "grouped_limit_scalar": (
+        select(C.c_custkey, scalar(select(O.o_orderstatus).where(O.o_custkey.eq_col(C.c_custkey)).group_by(O.o_orderstatus).order_by(O.o_orderkey.count().desc(), O.o_orderstatus.asc()).limit(1))).all(),
+        ("c_custkey", "top"),
+        "select c_custkey, top from customer left join (select o_custkey, o_orderstatus as top, row_number() over (partition by o_custkey order by count(o_orderkey) desc, o_orderstatus) as place from orders group by o_custkey, o_orderstatus) on o_custkey = c_custkey and place = 1",
+    ),
+    "correlated_limit_offset": (
+        select(C.c_custkey, scalar(select(O.o_totalprice).where(O.o_custkey.eq_col(C.c_custkey)).order_by(O.o_totalprice.desc(), O.o_orderkey.asc()).limit(1).offset(1))).all(),
+        ("c_custkey", "second"),
+        "select c_custkey, second from customer left join (select o_custkey, o_totalprice as second, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders) on o_custkey = c_custkey and place = 2",
+    ),
+    "nested_three_level": (
+        select(R.r_regionkey).where(exists(select(N.n_nationkey).where(N.n_regionkey.eq_col(R.r_regionkey), exists(select(C.c_custkey).where(C.c_nationkey.eq_col(N.n_nationkey), exists(select(O.o_orderkey).where(O.o_custkey.eq_col(C.c_custkey), O.o_orderkey.lt(400), O.o_orderkey.gt_col(R.r_regionkey)))))))),
+        None,
+        "select r_regionkey from region where exists (select 1 from nation where n_regionkey = r_regionkey and exists (select 1 from customer where c_nationkey = n_nationkey and exists (select 1 from orders where o_custkey = c_custkey and o_orderkey < 400 and o_orderkey > r_regionkey)))",
+    ),
+    "distinct_ordered": (select(L.l_returnflag, L.l_linestatus).distinct().all().order_by(L.l_returnflag.asc(), L.l_linestatus.desc()).limit(2), None, "select distinct l_returnflag, l_linestatus from lineitem order by l_returnflag asc nulls first, l_linestatus desc nulls last limit 2"),
+    "group_by_hidden_order": (select(O.o_orderstatus).all().group_by(O.o_orderstatus).order_by(O.o_totalprice.sum().desc()).limit(2), None, "select o_orderstatus from orders group by o_orderstatus order by sum(o_totalprice) desc limit 2"),
     "subquery_having": (
         select(O.o_custkey, O.o_orderkey.count()).all().group_by(O.o_custkey).having(exists(select(R.r_regionkey).where(R.r_name.eq("ASIA")))),
         ("o_custkey", "n"),
@@ -274,21 +296,9 @@ def _select(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _shared(spark: SparkSession) -> str:
-    """A folder for scratch stores that all executors share; a temporary one on a local master only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/sparrel-store"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="sparrel-store-")
-
-
 def _database(spark: SparkSession, sf_dir: str, model: type[Model]) -> Database:
     """A scratch store with a copy of one table and of those that it refers to."""
-    import uuid
-
-    db = Database.initialize(spark, f"{_shared(spark)}/{uuid.uuid4().hex}")
+    db = Database.initialize(spark, scratch(spark, "store"))
     models = _referred(model)
     db.migrate({"0001": scaffold(models)})
     with db.transaction() as tx:
@@ -327,8 +337,7 @@ def update_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def update_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = _database(spark, sf_dir, Customer)
     with db.transaction() as tx:
-        keys = tx.execute(update(C).set(C.c_acctbal.to(0.0)).where(C.c_acctbal.lt(100.0)).returning(C.c_custkey))
-    return spark.createDataFrame([(k,) for k in keys], "c_custkey long")
+        return tx.execute_df(update(C).set(C.c_acctbal.to(0.0)).where(C.c_acctbal.lt(100.0)).returning(C.c_custkey))
 
 
 def delete_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,12 +348,15 @@ def delete_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.to_df(select(O.o_orderkey).all())
 
 
+from sparrel import verbs as _verbs  # noqa: E402  (its queries use the models above)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _select(name) for name in SELECTS},
     "insert_returning_state": insert_returning_state,
     "update_state": update_state,
     "update_returning": update_returning,
     "delete_state": delete_state,
+    **_verbs.QUERIES,
 }
 
 SQL: dict[str, str] = {
@@ -353,4 +365,5 @@ SQL: dict[str, str] = {
     "update_state": "select c_custkey, case when c_acctbal < 0 then 'DELINQUENT' else c_mktsegment end as c_mktsegment from customer",
     "update_returning": "select c_custkey from customer where c_acctbal < 100",
     "delete_state": "select o_orderkey from orders where not coalesce(o_orderstatus = 'F', false)",
+    **_verbs.SQL,
 }

@@ -4,16 +4,17 @@ and the rewriting of subqueries into semi, anti and outer joins.
 Every scan is aliased by its table name, which is unique in a query, so names can't clash. A column of an
 enclosing query becomes an outer reference. Spark resolves those one level up only: a subquery that
 reaches further gets the distinct outer keys it needs (its domain) as a table of its own, joined with
-its tables, and the enclosing query compares with the keys (see _Domain).
+its tables, and the enclosing query compares with the keys (see _Domain). So does one with groups, LIMIT or
+OFFSET, which then count for each key.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrel.errors import QueryCompilationError
@@ -34,6 +35,7 @@ class Scope:
     parent: Scope | None = None
     domain: dict[tuple[str, str], str] = field(default_factory=dict)
     aggregates: dict[tuple[str, str | None], str] = field(default_factory=dict)
+    frame: DataFrame | None = None  # the domain's rows
 
     def column(self, attr: Attr) -> Column:
         table = attr.model.table
@@ -48,6 +50,9 @@ class Scope:
             return F.col(name).outer()
         raise QueryCompilationError(f"{attr!r} belongs to no table of this query or one around it")
 
+    def depth(self) -> int:
+        return 0 if self.parent is None else 1 + self.parent.depth()
+
     def knows(self, table: str) -> bool:
         return table in self.query.tables() or self.parent is not None and self.parent.knows(table)
 
@@ -178,21 +183,48 @@ def conjunction(ps: tuple[Predicate, ...], scope: Scope) -> Column:
 # subqueries
 
 
+def _parts(ps: tuple[Predicate, ...]) -> list[Predicate]:
+    """Conditions that all must hold."""
+    return [x for p in ps for x in (_parts(p.values) if p.kind == "and" else [p])]
+
+
+def _tables_in(p: Predicate) -> set[str]:
+    """Tables that a condition names; of its subqueries, those outside of them."""
+    found = set()
+    for leaf in leaves(p):
+        for x in (leaf.operand, *leaf.values):
+            if isinstance(x, Select | Scalar):
+                found |= {k[0] for k in outer_columns(x if isinstance(x, Select) else x.query)}
+            elif isinstance(x, Attr | Aggregate) and (not isinstance(x, Aggregate) or x.attr is not None) or x is not None and is_leaf(x):
+                found.add(table_of(x))
+    return found
+
+
 class _Domain:
     """The distinct values of the outer columns that a subquery's own subqueries need, or that it needs
-    itself if it has groups. The subquery is lowered with them as a table joined with its own; the enclosing query compares its columns with
-    the names under which they come out."""
+    itself if it has groups, LIMIT or OFFSET. The subquery is lowered with them as a table joined with its own; the
+    enclosing query compares its columns with the names under which they come out. Rows that other conditions
+    of the enclosing query exclude give no keys."""
 
     def __init__(self, query: Select, scope: Scope) -> None:
         far = far_columns(query)
-        if far or query.keys:  # Spark groups no subquery with outer references by keys
+        if far or query.keys or query.first is not None or query.skip is not None:
             far = outer_columns(query)
-        self.names = {k: f"__{k[0]}__{k[1]}" for k in far}
-        keys = [scope.column(a).alias(self.names[k]) for k, a in far.items()] if far else []
-        if far and any(k[0] not in scope.query.tables() and k not in scope.domain for k in far):
+        # a name of its own on each level: the enclosing query may hold the same key
+        self.names = {k: f"__{scope.depth()}__{k[0]}__{k[1]}" for k in far}
+        tables = scope.query.tables()
+        if any(k[0] not in tables and k not in scope.domain for k in far):
             raise QueryCompilationError("a subquery names a column of no query around it")
-        self.frame = scanned(scope.query, scope, anew=True).select(*keys).distinct() if far else None
-        self.outer = [(n, scope.column(a)) for n, a in zip(self.names.values(), far.values(), strict=True)]
+        self.frame = None
+        if far:
+            rows = scope.frame
+            if any(k[0] in tables for k in far):
+                rows = scanned(scope.query, scope, anew=True)
+                own = [p for p in _parts(scope.query.predicates) if not list(subqueries(p)) and _tables_in(p) <= tables.keys()]
+                rows = rows.where(conjunction(tuple(own), scope)) if own else rows
+                if any(k in scope.domain for k in far):
+                    rows, _ = _met(rows, scope.query, scope)
+            self.frame = rows.select(*(scope.column(a).alias(self.names[k]) for k, a in far.items())).distinct()
 
     def matched(self, df: DataFrame, scope: Scope) -> DataFrame:
         """df, which holds the keys, for the outer row only."""
@@ -202,14 +234,60 @@ class _Domain:
         return df
 
 
+def _met(df: DataFrame, query: Select, scope: Scope) -> tuple[DataFrame, list[Predicate]]:
+    """df joined with the domain of its query, and the conditions that are left. Where a subquery that must have
+    a row names the keys, and is tied to this query by equal columns, the keys join there, on what it says of
+    them, and come here by the equal columns; else they join here, on the conditions that name them. Only where none
+    does (as under NOT) every row meets every key."""
+    parts, own = _parts(query.predicates), query.tables()
+    far = {k[0] for k in scope.domain}
+    for p in parts:
+        if p.kind not in ("exists", "in_subquery") or p.kind == "in_subquery" and not isinstance(p.operand, Attr):
+            continue
+        q = p.values[0]
+        inner = q.tables()
+        if q.grouped or q.havings or q.first is not None or q.skip is not None or far_columns(q):
+            continue
+        ties = [(p.operand, q.fields[0])] if p.kind == "in_subquery" else []
+        if any(not isinstance(b, Attr) for _, b in ties):
+            continue
+        rest = []
+        for x in _parts(q.predicates):
+            sides = [x.operand, *x.values] if x.kind == "eq_col" else []
+            mine = [y for y in sides if isinstance(y, Attr) and y.model.table in own]
+            its = [y for y in sides if isinstance(y, Attr) and y.model.table in inner]
+            if len(mine) == len(its) == 1:
+                ties.append((mine[0], its[0]))
+            else:
+                rest.append(x)
+        named = {(y.model.table, y.name) for x in rest for leaf in leaves(x) for y in (leaf.operand, *leaf.values) if isinstance(y, Attr)}
+        if not ties or any(_tables_in(x) & own.keys() for x in rest) or not scope.domain.keys() <= named:
+            continue
+        within = Scope(q, scope.source, None, scope.domain)
+        on = [x for x in rest if _tables_in(x) & far]
+        if any(list(subqueries(x)) for x in on):
+            continue
+        before = tuple(x for x in rest if x not in on)
+        rows = scanned(q, within, anew=True)
+        rows = rows.where(conjunction(before, within)) if before else rows
+        rows = rows.join(scope.frame, conjunction(tuple(on), within))
+        rows = rows.select(*(within.column(b).alias(f"__tie{i}") for i, (_, b) in enumerate(ties)), *(F.col(n) for n in scope.domain.values())).distinct()
+        df = df.join(rows, reduce(lambda a, b: a & b, (scope.column(a) == F.col(f"__tie{i}") for i, (a, _) in enumerate(ties))))
+        return df, [x for x in parts if x is not p]
+    on = [p for p in parts if _tables_in(p) & far and not list(subqueries(p))]
+    if on:
+        return df.join(scope.frame, conjunction(tuple(on), scope)), [p for p in parts if p not in on]
+    return df.crossJoin(scope.frame), parts
+
+
 def member(query: Select, scope: Scope, column: Column | None) -> Column:
     """EXISTS, or with a column IN."""
+    if column is None and query.first and not query.skip:
+        query = replace(query, first=None)  # whether there is a row doesn't depend on it
     domain = _Domain(query, scope)
     if domain.frame is None:
         df = lower(query, scope.source, scope)
         return df.exists() if column is None else column.isin(df)
-    if query.first is not None or query.skip is not None:
-        raise QueryCompilationError("limit and offset don't go with subqueries that reach past their parent")
     df = lower(query, scope.source, scope, domain)
     names = [c for c in df.columns if c not in domain.names.values()]
     df = domain.matched(df, scope)
@@ -221,14 +299,16 @@ def scalar_column(x: Scalar, scope: Scope) -> Column:
     domain = _Domain(query, scope)
     if domain.frame is None:
         return lower(query, scope.source, scope).scalar()
-    if query.first is not None or query.skip is not None:
-        raise QueryCompilationError("limit and offset don't go with subqueries that reach past their parent")
     df = lower(query, scope.source, scope, domain)
     name = next(c for c in df.columns if c not in domain.names.values())
-    value = domain.matched(df, scope).select(F.col(f"`{name}`")).scalar()
+    value = F.col(f"`{name}`")
+    # Spark wants to see that there is one row at most
+    several = F.raise_error(F.lit("a scalar subquery has more than one row")).cast(df.schema[name].dataType)
+    one = domain.matched(df, scope).select(F.when(F.count(F.lit(1)) > 1, several).otherwise(F.first(value)).alias("__one")).scalar()
     f = query.fields[0]
     # without rows in the domain there is no group, where a count would be 0
-    return F.coalesce(value, F.lit(0)) if isinstance(f, Aggregate) and f.func == "count" and not query.keys else value
+    counts = isinstance(f, Aggregate) and f.func == "count" and not query.keys and query.first != 0 and not query.skip
+    return F.coalesce(one, F.lit(0)) if counts else one
 
 
 # the query itself
@@ -272,14 +352,17 @@ def output_names(query: Select) -> list[str]:
 
 def lower(query: Select, source: Any, parent: Scope | None = None, domain: _Domain | None = None) -> DataFrame:
     """The query as a lazy DataFrame over source.table(model). With a domain its keys come out too."""
-    scope = Scope(query, source, parent, domain.names if domain and domain.frame is not None else {})
+    scope = Scope(query, source, parent)
+    if domain and domain.frame is not None:
+        scope.domain, scope.frame = domain.names, domain.frame
     check(query, scope)
     kept = [F.col(n) for n in scope.domain.values()]
-    df = scanned(query, scope)
+    df, predicates = scanned(query, scope), query.predicates
     if scope.domain:
-        df = df.crossJoin(domain.frame)
-    if query.predicates:
-        df = df.where(conjunction(query.predicates, scope))
+        df, left = _met(df, query, scope)
+        predicates = tuple(left)
+    if predicates:
+        df = df.where(conjunction(predicates, scope))
 
     if query.grouped:
         wanted = [f for f in (*query.fields, *(o.operand for o in query.orders)) if isinstance(f, Aggregate)]
@@ -303,6 +386,8 @@ def lower(query: Select, source: Any, parent: Scope | None = None, domain: _Doma
         columns = _rows(query)
     else:
         columns = [operand(f, scope, filtering=False).alias(n) for f, n in zip(query.fields, output_names(query), strict=True)]
+    if scope.domain and (query.first is not None or query.skip is not None):
+        return _limited(df, query, scope, columns, kept)
     if query.is_distinct:
         df = df.select(*columns, *kept).distinct()
         df = df.orderBy(*_distinct_orders(query)) if query.orders else df
@@ -315,6 +400,21 @@ def lower(query: Select, source: Any, parent: Scope | None = None, domain: _Doma
     return df.limit(query.first) if query.first is not None else df
 
 
+def _limited(df: DataFrame, query: Select, scope: Scope, columns: list[Column], kept: list[Column]) -> DataFrame:
+    """The selected columns with LIMIT and OFFSET for each key of the domain."""
+    if query.is_distinct:
+        df = df.select(*columns, *kept).distinct()
+        orders = _distinct_orders(query) if query.orders else [F.lit(0)]
+        columns = [F.col(f"`{n}`") for n in output_names(query)]
+    else:
+        orders = [_ordered(operand(o.operand, scope, filtering=False), o.descending) for o in query.orders] or [F.lit(0)]
+    df = df.withColumn("__place", F.row_number().over(Window.partitionBy(*kept).orderBy(*orders)))
+    first = query.skip or 0
+    df = df.where(F.col("__place") > first)
+    df = df.where(F.col("__place") <= first + query.first) if query.first is not None else df
+    return df.select(*columns, *kept)
+
+
 def _ordered(c: Column, descending: bool) -> Column:
     return c.desc_nulls_last() if descending else c.asc_nulls_first()
 

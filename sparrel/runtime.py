@@ -64,12 +64,19 @@ def decoder(query: Select, *, validate: bool = True) -> Any:
 
 
 def run(what: Any, query: Any) -> Any:
+    """What a query's action gives; one record for each, with its kind, table and time, and never its values."""
+    started = time.monotonic()
+    facts = {"kind": type(query).__name__.lower(), "table": query.model.table if query.model else None}
     try:
-        return what()
-    except SparrelError:
-        raise
+        out = what()
     except Exception as e:
+        log.warning("%s on %s failed after %.3f s: %s", facts["kind"], facts["table"], time.monotonic() - started, type(e).__name__, extra=facts | {"seconds": time.monotonic() - started, "error": type(e).__name__})
+        if isinstance(e, SparrelError):
+            raise
         raise ExecutionError(f"{query!r} failed: {e}") from e
+    rows = len(out) if isinstance(out, list) else None
+    log.debug("%s on %s took %.3f s", facts["kind"], facts["table"], time.monotonic() - started, extra=facts | {"seconds": time.monotonic() - started, "rows": rows})
+    return out
 
 
 class Reader:
@@ -134,6 +141,7 @@ class Transaction(Reader):
         self.snapshot, self.changed = Snapshot(), set()
         self.staged: list[str] = []
         self.models: dict[str, type[Model]] = {}
+        self.referred: set[str] = set()
 
     def __enter__(self) -> Self:
         self.db._ready()
@@ -141,19 +149,23 @@ class Transaction(Reader):
             raise ReusedError("a transaction is entered once")
         self.base = self.db.store.latest()
         self.snapshot, self.state = self.base.copy(), "open"
+        log.debug("transaction began at commit %d", self.base.number, extra={"commit": self.base.number, "mode": self.mode})
         return self
 
     def __exit__(self, kind: Any, error: Any, trace: Any) -> None:
         self.state = "closed"
         if kind is not None or not self.changed:
             self._discard()
+            log.debug("transaction %s", "rolled back" if kind is not None else "ended without changes", extra={"error": kind and kind.__name__})
             return
         try:
             self._publish()
-        except BaseException:
+        except BaseException as e:
             self._discard()
+            log.warning("transaction failed to commit: %s", type(e).__name__, extra={"error": type(e).__name__})
             raise
         self._discard(only="_scratch/")
+        log.info("transaction committed %s", ", ".join(sorted(self.changed)), extra={"tables": sorted(self.changed)})
 
     def _discard(self, only: str = "") -> None:
         for folder in self.staged:
@@ -178,7 +190,10 @@ class Transaction(Reader):
                 time.sleep(random.uniform(0, WAIT * 2**attempt))  # noqa: S311
 
     def _touched(self, latest: Snapshot) -> bool:
-        return any(latest.tables.get(t) != self.base.tables.get(t) for t in {*self.models, *self.changed})
+        if any(latest.tables.get(t) != self.base.tables.get(t) for t in {*self.models, *self.changed}):
+            return True
+        # rows that were referred to must still be there; added ones don't matter
+        return any(not set(self.base.tables.get(t, ())) <= set(latest.tables.get(t, ())) for t in self.referred)
 
     def _ready(self) -> None:
         self.db._ready()
@@ -194,6 +209,15 @@ class Transaction(Reader):
         self.models[model.table] = model
         return self.db.store.read(model, self.snapshot.tables[model.table])
 
+    def _referred(self, model: type[Model]) -> DataFrame:
+        """A table that is read only for rows that are referred to."""
+        known = model.table in self.models
+        df = self.table(model)
+        if not known:
+            del self.models[model.table]
+            self.referred.add(model.table)
+        return df
+
     # writing
 
     def execute(self, query: Insert | Update | Delete) -> Any:
@@ -201,11 +225,19 @@ class Transaction(Reader):
         (one for an insert of a single row, else a list)."""
         self._ready()
         if isinstance(query, Insert):
-            return self._insert(query)
+            return run(lambda: self._insert(query), query)
         if isinstance(query, Update | Delete):
-            return self._change(query)
+            return run(lambda: self._change(query), query)
         raise QueryConstructionError(f"execute() is for writes, not {type(query).__name__}")
 
+    def execute_df(self, query: Insert | Update | Delete) -> DataFrame:
+        """execute() of a query with returning(): its rows as a lazy DataFrame, of any size. For a delete it
+        can be read as long as the transaction is open."""
+        self._ready()
+        if not isinstance(query, Insert | Update | Delete) or query.returned is None:
+            raise QueryConstructionError("execute_df() is for writes with returning()")
+        return run(lambda: self._insert(query, lazy=True) if isinstance(query, Insert) else self._change(query, lazy=True), query)
+
     def _stage(self, model: type[Model], df: DataFrame, *, anew: bool) -> DataFrame:
         folder = self.db.store.stage(model.table, df)
         self.staged.append(folder)
@@ -213,7 +245,9 @@ class Transaction(Reader):
         self.changed.add(model.table)
         return self.db.store.read(model, [folder])
 
-    def _returned(self, model: type[Model], columns: tuple[Attr, ...], df: DataFrame) -> list:
+    def _returned(self, model: type[Model], columns: tuple[Attr, ...], df: DataFrame, lazy: bool = False) -> Any:
+        if lazy:
+            return df.select(*((c.name for c in columns) if columns else model.columns))
         if not columns:
             return [model.from_stored(r) for r in df.select(*model.columns).collect()]
         rows = df.select(*(c.name for c in columns)).collect()
@@ -221,8 +255,10 @@ class Transaction(Reader):
             return [columns[0].decode(r[0]) for r in rows]
         return [tuple(c.decode(v) for c, v in zip(columns, r, strict=True)) for r in rows]
 
-    def _insert(self, query: Insert) -> Any:
+    def _insert(self, query: Insert, lazy: bool = False) -> Any:
         if not query.rows:
+            if lazy:
+                raise QueryConstructionError("an insert of no rows has no columns")
             return None if query.returned is None else []
         model, now = query.model, utc_millis(datetime.now(UTC))
         self.table(model)
@@ -252,8 +288,8 @@ class Transaction(Reader):
         self._check(model, folder_rows)
         if query.returned is None:
             return None
-        out = self._returned(model, query.returned, folder_rows)
-        return out if query.many else out[0]
+        out = self._returned(model, query.returned, folder_rows, lazy)
+        return out if query.many or lazy else out[0]
 
     def append(self, model: type[Model], df: DataFrame, *, check: bool = True) -> None:
         """Add the rows of a DataFrame with the model's columns, at any size. Columns that the store
@@ -290,11 +326,14 @@ class Transaction(Reader):
         self.staged.append(folder)
         return folder
 
-    def _change(self, query: Update | Delete) -> Any:
+    def _change(self, query: Update | Delete, lazy: bool = False) -> Any:
         query.check_intent()
         model = query.model
         whole = Select("model", model, (), (), query.predicates, query.whole)
-        base = self.table(model).alias(model.table)
+        self.table(model)
+        entries = list(self.snapshot.tables[model.table])
+        base = self.db.store.read(model, entries)
+        base = (base.select("*", F.col("_metadata.file_path").alias("_file")) if entries else base.withColumn("_file", F.lit(""))).alias(model.table)
         scope = Scope(whole, self)
         hit = F.lit(True)
         if query.predicates:
@@ -303,27 +342,58 @@ class Transaction(Reader):
             check(whole, scope)
             # what is null is no hit
             hit = F.coalesce(conjunction(query.predicates, scope), F.lit(False))
-        marked = run(lambda: self.db.store.read_any(self._scratch(model, base.withColumn("_hit", hit))), query)
-        count = marked.where("_hit").count()
         updating = isinstance(query, Update)
+        # hits are kept; the other rows of their files are read again, and other files stay as they are
+        found = self.db.store.read_any(self._scratch(model, base.where(hit).select(*(F.col(f"`{model.table}`.`{c}`") for c in model.columns), "_file")))
+        files = found.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each file
+        count = sum(r.n for r in files)
+        before = found.select(*model.columns)
         if not count:
+            if lazy:
+                return self._returned(model, query.returned, before, lazy)
             return 0 if query.returned is None else []
-        before = marked.where("_hit").drop("_hit")
+        touched = {"/".join(r._file.rsplit("/", 3)[-3:]) for r in files}
+        kept, again = self._split(entries, touched)
+        rest = self.db.store.read(model, again).alias(model.table)
+        rest = rest.where(~hit) if query.predicates else rest.where(F.lit(False))
+        out = before
+        self.snapshot.tables[model.table] = kept
+        try:
+            if query.predicates:
+                self._stage(model, rest.select(*(F.col(f"`{model.table}`.`{c}`") for c in model.columns)), anew=False)
+        except BaseException:
+            self.snapshot.tables[model.table] = entries
+            raise
+        self.changed.add(model.table)
+        new = None
         if updating:
             now = utc_millis(datetime.now(UTC))
             new = {x.attr.name: stored(x.attr, now if x.value is CurrentTimestamp else x.attr.encode(x.value)) for x in query.assignments}
-            after = before.select(*(new[n].alias(n) if n in new else F.col(f"`{n}`") for n in model.columns))
-            kept = marked.where(~F.col("_hit")).drop("_hit").select(*model.columns)
-            self._stage(model, kept, anew=True)
-            changed = self._stage(model, after, anew=False)
-            self._check(model, changed)
-            self._follow(model, before, new)
-            out = changed
-        else:
-            self._stage(model, marked.where(~F.col("_hit")).drop("_hit").select(*model.columns), anew=True)
-            self._follow(model, before, None)
-            out = before
-        return count if query.returned is None else self._returned(model, query.returned, out)
+            out = self._stage(model, before.select(*(new[n].alias(n) if n in new else F.col(f"`{n}`") for n in model.columns)), anew=False)
+            self._check(model, out)
+        self._follow(model, before, new)
+        return count if query.returned is None else self._returned(model, query.returned, out, lazy)
+
+    def _split(self, entries: list[str], touched: set[str]) -> tuple[list[str], list[str]]:
+        """Entries of a table without touched files, and those files. A folder that holds some becomes its files."""
+        kept, again = [], []
+        for entry in entries:
+            folder = "/".join(entry.split("/")[:2])
+            if not any(f.startswith(folder + "/") for f in touched):
+                kept.append(entry)
+                continue
+            files = [entry] if entry.count("/") > 1 else [f"{entry}/{n}" for n in self.db.store.files.names(entry) if n.startswith("part-")]
+            for f in files:
+                (again if f in touched else kept).append(f)
+        return kept, again
+
+    def compact(self, model: type[Model]) -> int:
+        """Write a table as one folder, which many small inserts and updates ask for. Returns how many entries it had."""
+        rows = self.table(model)
+        entries = len(self.snapshot.tables[model.table])
+        if entries > 1:
+            self._stage(model, rows, anew=True)
+        return entries
 
     # constraints
 
@@ -349,7 +419,7 @@ class Transaction(Reader):
             target = attr.target
             if target is None:
                 continue
-            theirs = self.table(target.model).select(F.col(f"`{target.name}`").alias(attr.name))
+            theirs = self._referred(target.model).select(F.col(f"`{target.name}`").alias(attr.name))
             if not new.select(attr.name).dropna().join(theirs, attr.name, "left_anti").isEmpty():
                 raise ForeignKeyError(f"{attr!r} refers to no {target!r}")
 
