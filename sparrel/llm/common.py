@@ -3,8 +3,6 @@ distributed connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,35 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrel.sources.scratch import scratch
+
 #: Rows up to which a table of ids or of edges may be broadcast (16 bytes a row: 16 MB at most).
 BROADCAST_ROWS = 1_000_000
-#: Temporary folders of local applications.
-_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir. Only where that is unset and
-    the master is local (as in tests) a temporary folder serves, one for each application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if application not in _OWN:
-            _OWN[application] = "file://" + tempfile.mkdtemp(prefix="sparrel-checkpoint-")
-        base = _OWN[application]
-    return base.rstrip("/")
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and what was
-    written survives the loss of any executor."""
+    """Write df as a table in the application's scratch folder, which all executors share, and read it back:
+    lineage ends here, and what was written survives the loss of any executor. The folder goes with the driver."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparrel/{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -124,18 +108,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Partitions first reduce their edges to a forest. Then large-star and small-star steps alternate;
     each is an aggregation and a join by node, so no group is collected, and each round is saved
-    in the shared folder. The driver sees counts and checksums only."""
+    in the shared folder; a node with very many edges is a skewed key, which adaptive execution splits. The driver
+    sees counts and checksums only; that a round changed nothing is settled by comparing its edges."""
     a, b = edges.columns[:2]
     edge = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
     edge = saved(edge.mapInArrow(_forest, "lo long, hi long").distinct(), "edges")
-    state = None
+    state = before = None
     while True:
         got = edge.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).first()
-        if not got[0] or tuple(got) == state:
+        if not got[0] or tuple(got) == state and edge.join(before, ["lo", "hi"], "left_anti").isEmpty():
             return edge.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
                 edge.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
             )
-        state = tuple(got)
+        state, before = tuple(got), edge
         both = edge.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edge.select("hi", "lo"))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()

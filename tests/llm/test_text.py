@@ -317,3 +317,24 @@ def test_fit_counts_is_non_negative_least_squares():
 def test_pack_refuses_what_does_not_fit(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long"), size=8)
+
+
+def test_packing_clashing_columns_empty_table_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"word{i}" for i in range(9000))  # over 25 KB
+    docs = spark.createDataFrame([(1, words, 5, "x"), (2, None, 6, "y"), (3, " " * 250_000 + "end", 7, None), (2, "", 8, "z")], DOCS + ", offset int, sequence_id string")
+    cut = packing.pieces(docs)
+    packed = packing.pack(cut.drop("ids").withColumn("offset", F.lit("old")).withColumn("sequence_id", F.lit("old")))
+    rows = packed.collect()
+    assert len(rows) == cut.count() and dict(packed.dtypes)["offset"] == "bigint"
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(packing.pieces(docs.limit(0), ids=False)).count() == 0

@@ -142,3 +142,11 @@ def test_units_of_two_blocks_count_as_one_block_does():
             for i, _, c in zip(*unit, strict=True) if unit else ():
                 parts[int(i)] = parts.get(int(i), 0) + int(c)
         assert parts == got
+
+
+def test_dialogues_long_null_and_repeated(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} " * (2000 if i == 7 else 1)) for i in range(300)]
+    rows += [(2, 1, None, None), (2, 1, None, None), (None, None, None, None), (3, 0, "a", ""), (3, 0, "a", "")]
+    got = chat.rotate(spark.createDataFrame(rows, TURNS))
+    assert got.where("conv_id = 1").count() == 600  # each of two speakers in turn is the assistant
+    assert got.where("conv_id = 3").count() == 2 and chat.rotate(spark.createDataFrame([], TURNS)).count() == 0
