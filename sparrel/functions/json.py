@@ -34,6 +34,9 @@ class JsonInt(Comparable):
         text = F.get_json_object(column, self.path)
         return text.try_cast("bigint") if filtering else text.cast("bigint")
 
+    def to_sql(self, column: str) -> str:
+        return f"try_cast(get_json_object({column}, '{self.path}') AS BIGINT)"
+
     def operand_value(self, value: Any) -> Any:
         if not isinstance(value, int) or isinstance(value, bool):
             raise ModelValidationError(f"{self.name} compares with an int")

@@ -265,6 +265,7 @@ class Model:
     table: str = ""
     columns: dict[str, Attr] = {}
     indexes: tuple[Index, ...] = ()
+    _decoders: tuple[tuple[str, Callable[[Any], Any], bool], ...] = ()
     _values: dict[str, Any]
 
     def __class_getitem__(cls, _: Any) -> type:
@@ -299,6 +300,7 @@ class Model:
             if not isinstance(shape, _Shape) or shape.logical is None:
                 raise ModelDeclarationError(f"{cls.__name__}.{name}: annotate with Col[T], GenCol[T] or FKCol[T]")
             attr.bind(cls, shape)
+        cls._decoders = tuple((name, attr.codec.decode, attr.nullable) for name, attr in found.items())
         cls.indexes = cls._all_indexes()
         keys = cls.primary_key()
         if len(keys) > 1 and any(k.auto_increment for k in keys):
@@ -348,10 +350,19 @@ class Model:
         """A fetched row of values in the order of the columns, as Spark gives them."""
         row = object.__new__(cls)
         out = {}
-        for (name, attr), value in zip(cls.columns.items(), values, strict=True):
-            if value is None and not attr.nullable and validate:
-                raise ModelValidationError(f"{attr!r} is null in the table")
-            out[name] = attr.decode(value) if validate else value
+        if validate:
+            for (name, decode, nullable), value in zip(cls._decoders, values, strict=True):
+                if value is not None:
+                    try:
+                        out[name] = decode(value)
+                    except (ModelValidationError, ValueError, TypeError) as e:
+                        raise ModelValidationError(f"{cls.columns[name]!r}: {e}") from e
+                elif nullable:
+                    out[name] = None
+                else:
+                    raise ModelValidationError(f"{cls.columns[name]!r} is null in the table")
+        else:
+            out = dict(zip(cls.columns, values, strict=True))
         object.__setattr__(row, "_values", out)
         object.__setattr__(row, "_fetched", True)
         return row

@@ -4,7 +4,7 @@ until the query is lowered (see sparrel.plans.lower) or run by a transaction."""
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import TYPE_CHECKING, Any, Self
 
 from sparrel.errors import QueryCompilationError, QueryConstructionError, ValueRefusedError
@@ -16,7 +16,15 @@ if TYPE_CHECKING:
 
 
 def is_leaf(x: Any) -> bool:
-    return not isinstance(x, Attr | Aggregate) and isinstance(x, Leaf)
+    return not isinstance(x, (Attr, Aggregate)) and isinstance(x, Leaf)
+
+
+def _with(query: Any, **changes: Any) -> Any:
+    """A copy with other fields; dataclasses.replace would look at each of them."""
+    new = object.__new__(type(query))
+    new.__dict__.update(query.__dict__)
+    new.__dict__.update(changes)
+    return new
 
 
 def table_of(x: Any) -> str:
@@ -54,12 +62,28 @@ class _Shown:
     def describe(self) -> str:
         raise NotImplementedError
 
+    def sql(self) -> tuple[str, list[Any]]:
+        """SQL text with a ? for each value, and the values. That of a select runs by
+        spark.sql(text, args=values) where its tables are views."""
+        from sparrel.operators.text import text_of
+
+        return text_of(self, inline=False)
+
     def __repr__(self) -> str:
         try:
             return f"<{type(self).__name__} {self.describe()}>"
         except Exception as e:  # noqa: BLE001
             return f"<{type(self).__name__} incomplete: {e}>"
 
+    def __str__(self) -> str:
+        """SQL text with the values in it."""
+        from sparrel.operators.text import text_of
+
+        try:
+            return text_of(self, inline=True)[0]
+        except Exception as e:  # noqa: BLE001
+            return f"incomplete: {e}"
+
 
 class _Filtered(_Shown):
     """where() and all(), of which a query has exactly one."""
@@ -82,13 +106,13 @@ class _Filtered(_Shown):
             for leaf in leaves(p):
                 if isinstance(leaf.operand, Aggregate):
                     raise QueryConstructionError("an aggregate can't stand in where(): use having()")
-        return replace(self, predicates=(*self.predicates, *predicates))  # type: ignore[type-var]
+        return _with(self, predicates=(*self.predicates, *predicates))
 
     def all(self) -> Self:
         """Says that every row is meant."""
         if self.predicates:
             raise QueryConstructionError("all() and where() exclude each other")
-        return replace(self, whole=True)  # type: ignore[type-var]
+        return _with(self, whole=True)
 
     def check_intent(self) -> None:
         if not self.predicates and not self.whole:
@@ -131,13 +155,13 @@ class Select(_Filtered):
         return bool(self.keys) or any(isinstance(f, Aggregate) for f in self.fields)
 
     def distinct(self) -> Select:
-        return replace(self, is_distinct=True)
+        return _with(self, is_distinct=True)
 
     def limit(self, n: int) -> Select:
-        return replace(self, first=_count(n, "limit"))
+        return _with(self, first=_count(n, "limit"))
 
     def offset(self, n: int) -> Select:
-        return replace(self, skip=_count(n, "offset"))
+        return _with(self, skip=_count(n, "offset"))
 
     def order_by(self, *orders: Order) -> Select:
         for o in orders:
@@ -146,7 +170,7 @@ class Select(_Filtered):
             self._in_scope(o.operand)
             if isinstance(o.operand, Aggregate) and self.shape == "model":
                 raise QueryConstructionError("whole rows aren't ordered by aggregates")
-        return replace(self, orders=(*self.orders, *orders))
+        return _with(self, orders=(*self.orders, *orders))
 
     def group_by(self, *columns: Attr) -> Select:
         if self.shape == "model":
@@ -155,14 +179,14 @@ class Select(_Filtered):
             raise QueryConstructionError("group_by() takes columns")
         for c in columns:
             self._in_scope(c)
-        return replace(self, keys=(*self.keys, *columns))
+        return _with(self, keys=(*self.keys, *columns))
 
     def having(self, *predicates: Predicate) -> Select:
         if self.shape == "model":
             raise QueryConstructionError("whole rows aren't grouped: select columns")
         if not predicates or not all(isinstance(p, Predicate) for p in predicates):
             raise QueryConstructionError("having() takes predicates")
-        return replace(self, havings=(*self.havings, *predicates))
+        return _with(self, havings=(*self.havings, *predicates))
 
     def join(self, model: type[Model], *, on: JoinOn) -> Select:
         return self._join(model, on, "inner")
@@ -182,10 +206,10 @@ class Select(_Filtered):
             raise QueryConstructionError(f"on= must compare a column of {model.table} with one of a table joined before")
         if missing := sides - {model.table} - set(self.tables()):
             raise QueryConstructionError(f"{', '.join(missing)} isn't joined yet")
-        return replace(self, joins=(*self.joins, Join(model, on, how)))
+        return _with(self, joins=(*self.joins, Join(model, on, how)))
 
     def _in_scope(self, x: Any) -> None:
-        if not (isinstance(x, Attr | Aggregate) or is_leaf(x)):
+        if not (isinstance(x, (Attr, Aggregate)) or is_leaf(x)):
             raise QueryConstructionError(f"{type(x).__name__} is no column")
 
     def describe(self) -> str:
@@ -255,7 +279,7 @@ class _Returning(_Shown):
         for c in columns:
             if not isinstance(c, Attr) or c.model is not self.model:
                 raise QueryConstructionError(f"{c!r} is no column of {self.model.table}")
-        return replace(self, returned=tuple(columns))  # type: ignore[type-var]
+        return _with(self, returned=tuple(columns))
 
 
 @dataclass(frozen=True, eq=False, repr=False)
@@ -278,14 +302,18 @@ class Update(_Returning, _Filtered):
     returned: tuple[Attr, ...] | None = None
 
     def set(self, *assignments: Assignment) -> Update:
-        if not assignments or not all(isinstance(a, Assignment) for a in assignments):
+        if not assignments:
             raise QueryConstructionError("set() takes column.to(value)")
-        both = (*self.assignments, *assignments)
-        if any(a.attr.model is not self.model for a in both):
-            raise QueryConstructionError(f"only columns of {self.model.table} can be set")
-        if len({a.attr.name for a in both}) < len(both):
-            raise QueryConstructionError("a column is set twice")
-        return replace(self, assignments=both)
+        names = {a.attr.name for a in self.assignments}
+        for a in assignments:
+            if not isinstance(a, Assignment):
+                raise QueryConstructionError("set() takes column.to(value)")
+            if a.attr.model is not self.model:
+                raise QueryConstructionError(f"only columns of {self.model.table} can be set")
+            if a.attr.name in names:
+                raise QueryConstructionError("a column is set twice")
+            names.add(a.attr.name)
+        return _with(self, assignments=(*self.assignments, *assignments))
 
     def check_intent(self) -> None:
         if not self.assignments:
@@ -294,7 +322,7 @@ class Update(_Returning, _Filtered):
 
     def describe(self) -> str:
         self.check_intent()
-        return f"update {self.model.table} set {', '.join(a.attr.name for a in self.assignments)}" + "".join(f" where {show(p)}" for p in self.predicates)
+        return f"update {self.model.table} set {', '.join(f'{a.attr.name} = {a.value!r}' for a in self.assignments)}" + "".join(f" where {show(p)}" for p in self.predicates)
 
 
 @dataclass(frozen=True, eq=False, repr=False)
