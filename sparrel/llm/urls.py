@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sparrel.llm.html import host_of, path_of
 
-BUCKETS = 1 << 11
+BUCKETS = 1 << 13
 #: Rows of a labelled table, which the driver fits on.
 MOST_LABELLED = 4000
 
@@ -39,19 +39,19 @@ http://spam-mail.example.com/en/2 http://link-farm.example.org/links http://seo-
 http://content-farm.example.com/de/33 http://spam-links.example.org/fr/150 http://spamfarm.example.net/en/37 http://blog.spam-seo.example.org/de/25
 """.split()
 ALLOWED = """
-http://www.garden.example.org/en/120 http://blog.kitchen.example.com/fr/33 http://thornton.example.com/en/45 http://m.history.example.org/de/610
-http://weather.example.net/en/9 http://www.gazette.example.org/es/75.html http://blog.theatre.example.com/en/381 http://therapy.example.org/fr/22
-http://m.northern.example.com/de/901 http://library.example.org/en/18/ http://blog.another.example.net/en/640 http://www.mother.example.com/es/250
-http://station.example.com/en/500 http://blog.nation.example.org/fr/77 http://m.leather.example.com/en/210 http://www.other.example.net/en/39
-http://threshold.example.org/de/120 http://m.rather.example.com/en/87.html http://thread.example.com/fr/450 http://blog.thought.example.org/en/16
-http://www.river.example.com/en/333 http://reading.example.net/en/52 http://m.ethics.example.org/es/19 http://blog.anthem.example.com/de/77.html
-http://www.thesis.example.org/en/271 http://handbook.example.com/en/64 http://m.answers.example.org/fr/805
-http://lighthouse.example.com/de/14 http://blog.southern.example.org/en/702 http://www.rhythm.example.com/fr/58 http://m.father.example.net/en/466
-http://themes.example.org/en/31/ http://thunder.example.com/en/999 http://blog.breath.example.com/es/140 http://www.earth.example.org/en/82
-http://m.health.example.com/fr/215 http://thinking.example.org/de/37 http://www.gather.example.com/en/548 http://blog.hearing.example.com/de/11
-http://m.station.example.net/de/26 http://fashion.example.net/de/307 http://www.nations.example.net/de/8 http://motionshop.example.com/de/5
-http://m.education.example.com/en/730 http://something.example.org/en/19 http://www.wonders.example.com/fr/62 http://blog.month.example.org/es/481
-http://relations.example.org/es/93 http://www.underneath.example.net/en/118
+http://www.garden.example.org/en/120 http://blog.kitchen.example.com/fr/33 http://museum.example.com/en/45 http://m.history.example.org/de/610
+http://weather.example.net/en/9 http://www.gazette.example.org/es/75.html http://blog.theatre.example.com/en/381 http://physics.example.org/fr/22
+http://m.school.example.com/de/901 http://library.example.org/en/18/ http://blog.recipes.example.net/en/640 http://www.university.example.com/es/250
+http://railway.example.com/en/500 http://blog.travel.example.org/fr/77 http://m.football.example.com/en/210 http://www.music.example.net/en/39
+http://gallery.example.org/de/120 http://m.cycling.example.com/en/87.html http://council.example.com/fr/450 http://blog.poetry.example.org/en/16
+http://www.river.example.com/en/333 http://reading.example.net/en/52 http://m.science.example.org/es/19 http://blog.hiking.example.com/de/77.html
+http://www.journal.example.org/en/271 http://handbook.example.com/en/64 http://m.answers.example.org/fr/805 http://www.family-doctor.example.com/en/12
+http://lighthouse.example.com/de/14 http://blog.mountain.example.org/en/702 http://www.cinema.example.com/fr/58 http://m.bakery.example.net/en/466
+http://harbour.example.org/en/31/ http://airport.example.com/en/999 http://blog.painting.example.com/es/140 http://www.earth.example.org/en/82
+http://m.health.example.com/fr/215 http://novels.example.org/de/37 http://www.hospital.example.com/en/548 http://blog.gardener.example.com/de/11
+http://m.biology.example.net/de/26 http://fashion.example.net/de/307 http://www.forest.example.net/de/8 http://coffee-house.example.com/de/5
+http://m.education.example.com/en/730 http://chess.example.org/en/19 http://www.wonders.example.com/fr/62 http://blog.magazine.example.org/es/481
+http://village-news.example.org/es/93 http://www.island.example.net/en/118 http://m.research.example.com/en/77 http://orchard.example.org/de/203
 """.split()
 
 
