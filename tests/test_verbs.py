@@ -1,5 +1,9 @@
 import logging
+import os
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -10,8 +14,9 @@ from sparrel.errors import ConfigurationError, ConflictError
 from sparrel.operators.query import delete, insert, select, update
 from sparrel.runtime import Database
 from sparrel.schema import migrate, scaffold
+from sparrel.sources import derby
 from sparrel.sources import scratch as scratch_folder
-from sparrel.sources.files import ParquetFolder
+from sparrel.sources.files import Jdbc, ParquetFolder
 
 SF = "/root/testdata/sf0.001"
 NESTED = [n for n in catalogue.SELECTS if n.startswith("nested") or "limit" in n]
@@ -138,3 +143,58 @@ def test_scratch_goes(spark):
     spark.range(3).write.parquet(path)
     # others of this session may still read theirs: only the folder's place is checked here
     assert path.startswith(f"{scratch_folder.shared_dir(spark)}/sparrel/{spark.sparkContext.applicationId}/") and spark.read.parquet(path).count() == 3
+
+
+def test_jdbc_scan_on_executors_in_processes_of_their_own(tmp_path):
+    import pyspark
+
+    for f in Path(pyspark.__file__).parent.iterdir():  # the executors' folders go to work in Spark's home
+        if f.name != "work":
+            (tmp_path / "home" / f.name).parent.mkdir(exist_ok=True)
+            (tmp_path / "home" / f.name).symlink_to(f)
+    conf = {"spark.master": "local-cluster[2,1,1024]", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": f"file://{tmp_path}/shared files", "spark.sql.warehouse.dir": f"{tmp_path}/warehouse"}
+    code = f"""
+from pyspark.sql import SparkSession
+from __spark_entry__ import queries
+spark = SparkSession.builder.config(map={conf}).getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+df = queries()["jdbc_scan"](spark, {SF!r})
+df.write.parquet({str(tmp_path / "out")!r})
+print("partitions", df.rdd.getNumPartitions())
+spark.stop()
+"""
+    env = os.environ | {"SPARK_HOME": str(tmp_path / "home"), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": str(Path(__file__).parents[1])}
+    run = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "partitions 4" in run.stdout, run.stderr[-2000:]
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{SF}/customer.parquet'")
+    assert sorted(con.execute(f"select * from '{tmp_path}/out/*.parquet'").fetchall()) == sorted(con.execute(verbs.SQL["jdbc_scan"]).fetchall())
+
+
+def test_jdbc_scan_of_odd_rows(spark, tmp_path):
+    names = ["", None, " a b ", "x" * 40_000, 'q"u,o\'te\\', "\r\n", '"', "\0", "\U0001f600", "twice", "twice"]
+    rows = [(k if k < 9 else 9, n, 1, float("nan"), "BUILDING") for k, n in enumerate(names)]
+    rows += [(None, "null key", None, None, "BUILDING"), (-(2**63), "least", 1, float("inf"), "BUILDING"), (2**63 - 1, "most", 1, 1e308, "BUILDING")]
+    others = [(50, "blank", 1, 1.0, "BUILDING "), (51, "case", 1, 1.0, "building"), (52, "null", 1, 1.0, None), (53, "long", 1, 1.0, "y" * 40_000)]
+    for n, part in enumerate((rows + others, others, [])):
+        spark.createDataFrame(part, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/{n}/customer.parquet")
+        want = [(r[0], r[1]) for r in part if r[4] == "BUILDING"]
+        assert sorted(map(tuple, verbs.jdbc_scan(spark, f"{tmp_path}/{n}").collect()), key=str) == sorted(want, key=str)
+
+
+def test_jdbc_partitions_and_what_goes_to_the_database(spark):
+    df = ParquetFolder(spark, SF).table(C)
+    url, partitions = derby.archive(spark, {"customer": (df, "c_custkey")})
+    assert partitions == {"customer": ("c_custkey", *df.selectExpr("min(c_custkey)", "max(c_custkey)").first(), 4)}
+
+    def pushed(**more):
+        source = Jdbc(spark, url, options={"driver": derby.DRIVER, "dbtable": '"customer"'}, partitions=partitions, **more)
+        found = select(C.c_name).where(C.c_mktsegment.eq("BUILDING"), C.c_custkey.gt(100)).to_df(source)
+        return found, found._jdf.queryExecution().executedPlan().toString().partition("PushedFilters: ")[2].partition("]")[0]
+
+    found, conditions = pushed()
+    assert "c_custkey" in conditions and "c_mktsegment" not in conditions
+    assert found.count() == df.where("c_mktsegment = 'BUILDING' and c_custkey > 100").count() > 0
+    assert "c_mktsegment" in pushed(push_text=True)[1]
+    with pytest.raises(ConfigurationError, match="c_blob"):
+        derby.archive(spark, {"customer": (df.selectExpr("c_custkey", "cast(c_name as binary) as c_blob"), "c_custkey")})
